@@ -41,12 +41,13 @@ def running_totals(
     order: str,
     sums: Mapping[str, Column],
     descending: bool = False,
+    by: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Add inclusive running sums along ``order``, a column unique per row.
+    """Add inclusive running sums along ``order``, a column unique per row (of each group).
 
     Rows are cut into slices of the order column; each slice is summed on its own and
-    shifted by the total of the slices before it, a table of one row per slice.
+    shifted by the total of the slices before it, a table of one row per group and slice.
     """
     edges = slice_edges(df, F.col(order), slice_rows)
     sliced = with_slice(df, F.col(order), edges)
@@ -55,7 +56,7 @@ def running_totals(
         return F.col(c).desc() if descending else F.col(c).asc()
 
     inside = (
-        Window.partitionBy("_slice")
+        Window.partitionBy(*by, "_slice")
         .orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -63,15 +64,17 @@ def running_totals(
     if not edges:
         return sliced.withColumns(running).drop("_slice")
     before = (
-        Window.partitionBy(F.lit(0))
+        Window.partitionBy(*by, F.lit(0))
         .orderBy(direction("_slice"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = sliced.groupBy("_slice").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
+    totals = sliced.groupBy(*by, "_slice").agg(
+        *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()]
+    )
     offsets = totals.select(
-        "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums]
+        *by, "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums]
     )
-    joined = sliced.withColumns(running).join(F.broadcast(offsets), "_slice")
+    joined = sliced.withColumns(running).join(F.broadcast(offsets), [*by, "_slice"])
     shifted = {n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums}
     return joined.withColumns(shifted).drop("_slice", *[f"_o_{n}" for n in sums])
 

@@ -2,5 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     feature_queries,
+    report_queries,
+    ranking_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
