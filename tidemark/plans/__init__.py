@@ -4,5 +4,6 @@ from tidemark.plans import (  # noqa: F401
     feature_queries,
     report_queries,
     ranking_queries,
+    experiment_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
