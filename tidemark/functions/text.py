@@ -52,3 +52,8 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
     for term in terms:
         found = found | F.contains(lowered, F.lit(term.lower()))
     return found
+
+
+def whole_number(value: Column) -> Column:
+    """Rounded to no decimals, half to even, without grouping."""
+    return F.call_function("format_number", value, F.lit("0"))

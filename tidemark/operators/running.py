@@ -92,20 +92,23 @@ def running_by_key(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     slice_rows: int = SLICE_ROWS,
+    before_row: bool = False,
 ) -> DataFrame:
     """Add running sums and last non-NULL values per key, in ``order`` (a timestamp first).
 
+    They cover the rows up to and including each row, or only those before it.
     A key with more rows than a slice holds is cut into time slices. Those are summed
     apart and shifted by what the key's earlier slices left behind.
     """
     sums, lasts = sums or {}, lasts or {}
     hot = hot_keys(df, key, slice_rows)
+    end = -1 if before_row else Window.currentRow
 
     def running(*partition: str) -> dict[str, Column]:
         upto = (
             Window.partitionBy(*partition)
             .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            .rowsBetween(Window.unboundedPreceding, end)
         )
         cols = {n: F.sum(e).over(upto) for n, e in sums.items()}
         return cols | {n: F.last(e, ignorenulls=True).over(upto) for n, e in lasts.items()}
@@ -138,7 +141,13 @@ def running_by_key(
     )
     # One row per hot key and slice: both counts are bounded by rows / slice_rows.
     joined = sliced.withColumns(running(key, "_slice")).join(F.broadcast(offsets), [key, "_slice"], "left")
-    final = {n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums}
+    final = {
+        n: F.when(
+            F.col(n).isNotNull() | F.col(f"_o_{n}").isNotNull(),
+            F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)),
+        )
+        for n in sums
+    }
     final |= {n: F.coalesce(F.col(n), F.col(f"_o_{n}")) for n in lasts}
     return joined.withColumns(final).drop("_slice", *[f"_o_{n}" for n in [*sums, *lasts]])
 

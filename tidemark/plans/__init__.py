@@ -5,5 +5,6 @@ from tidemark.plans import (  # noqa: F401
     report_queries,
     ranking_queries,
     experiment_queries,
+    event_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
