@@ -6,5 +6,6 @@ from tidemark.plans import (  # noqa: F401
     ranking_queries,
     experiment_queries,
     event_queries,
+    content_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -45,12 +45,13 @@ def batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events(
-    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 64
+    spark: SparkSession, folder: str, pattern: str = "*.parquet", bytes_per_trigger: int = 256 << 20
 ) -> DataFrame:
-    """File stream over ``folder``; each trigger reads a bounded number of files."""
+    """File stream over ``folder``; each trigger reads a bounded amount, so the events one
+    customer brings to a trigger are bounded too."""
     raw = (
         spark.readStream.schema(RAW_SCHEMA)
-        .option("maxFilesPerTrigger", files_per_trigger)
+        .option("maxBytesPerTrigger", bytes_per_trigger)
         .option("pathGlobFilter", pattern)
         .parquet(folder)
     )
