@@ -198,9 +198,11 @@ def top_decile(
     def last(n: int) -> list[int]:
         return [max(1, int(n * 0.1)) - 1] if n else []
 
-    _, cuts = key_cuts(df, -F.col(score), F.col(key), last, limit)
+    cuts = key_cuts(df, {"s": -F.col(score)}, F.col(key), last, limit)["s"]
     y = F.col(label).cast("bigint")
-    inside = ~key_after([-F.col(score), F.col(key)], cuts[0]) if cuts else F.lit(False)
+    inside = F.lit(False)
+    for cut in cuts.values():
+        inside = ~key_after([-F.col(score), F.col(key)], cut)
     top = F.when(inside, y)
     return df.agg(
         F.count(top).alias("k"),

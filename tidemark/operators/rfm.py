@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.binning import bin_right, key_after
 from tidemark.functions.dates import days_between
-from tidemark.operators.selection import VALUE_LIMIT, inner_quantile_edges, key_cuts
+from tidemark.operators.selection import VALUE_LIMIT, Ranks, inner_quantile_edges, key_cuts
 
 
 def scoring_time(profiles: DataFrame) -> Column:
@@ -18,45 +19,49 @@ def scoring_time(profiles: DataFrame) -> Column:
     return latest.scalar()
 
 
-def rank_bins(
-    df: DataFrame, value: Column, key: Column, bins: int = 4, limit: int = VALUE_LIMIT
-) -> Column:
-    """0-based equal-count bin of each row by (value, key).
+def bin_starts(bins: int) -> Ranks:
+    """Positions at which the equal-count bins of ranked rows start."""
 
-    A bin starts at a rank; looking up the row at each start replaces ranking all rows.
-    """
     def starts(n: int) -> list[int]:
         spots = [math.floor((n - 1) * i / bins) + 1 for i in range(1, bins)]
         return [s for s in spots if s < n]
 
-    _, cuts = key_cuts(df, value, key, starts, limit)
+    return starts
+
+
+def rank_bin(value: Column, key: Column, cuts: Mapping[int, tuple[float, int]]) -> Column:
+    """0-based bin of a row: how many bin starts sort at or before its (value, key)."""
     total = F.lit(0)
-    for cut in cuts:
-        at = (value.cast("double") == F.lit(cut[0])) & (key == F.lit(cut[1]))
-        total = total + (at | key_after([value.cast("double"), key], cut)).cast("int")
+    for cut in cuts.values():
+        at = (value == F.lit(cut[0])) & (key == F.lit(cut[1]))
+        total = total + (at | key_after([value, key], cut)).cast("int")
     return total
 
 
 def rfm_scores(profiles: DataFrame, limit: int = VALUE_LIMIT) -> DataFrame:
-    """Scores 1-4 per customer; ``profiles`` is read several times, so pass a settled table."""
-    now = scoring_time(profiles)
+    """Scores 1-4 per customer; ``profiles`` is read several times, so pass a settled table.
+
+    Looking up the rows at which bins start replaces ranking all rows.
+    """
     days = profiles.select(
         "customer_id",
-        "total_orders",
-        "total_spend_usd",
-        days_between(now, F.col("last_order_date")).cast("double").alias("recency"),
+        F.col("total_orders").cast("double").alias("frequency"),
+        F.col("total_spend_usd").alias("monetary"),
+        days_between(scoring_time(profiles), F.col("last_order_date")).cast("double").alias("recency"),
     )
-    longest = days.agg(F.max("recency")).scalar()
-    filled = days.withColumn("recency", F.coalesce(F.col("recency"), longest))
+    longest = days.agg(F.max("recency")).first()[0]
+    filled = days.withColumn("recency", F.coalesce(F.col("recency"), F.lit(longest)))
     edges = inner_quantile_edges(filled, {"recency": F.col("recency")}, 4, limit)["recency"]
     key = F.col("customer_id")
-    frequency = rank_bins(filled, F.col("total_orders"), key, 4, limit)
-    monetary = rank_bins(filled, F.col("total_spend_usd"), key, 4, limit)
+    ranked = {c: F.col(c) for c in ("frequency", "monetary")}
+    cuts = key_cuts(filled, ranked, key, bin_starts(4), limit)
     return filled.select(
         "customer_id",
         (F.lit(4) - bin_right(F.col("recency"), edges)).alias("rfm_recency_score"),
-        (frequency + 1).alias("rfm_frequency_score"),
-        (monetary + 1).alias("rfm_monetary_score"),
+        *[
+            (rank_bin(F.col(c), key, cuts[c]) + 1).alias(f"rfm_{c}_score")
+            for c in ("frequency", "monetary")
+        ],
     )
 
 

@@ -47,8 +47,7 @@ def chronological_split(
         spots.extend([int(n * train), int(n * valid)])
         return [s for s in spots if s < n]
 
-    n, cuts = key_cuts(df, at, tie, positions, limit)
-    found = dict(zip([s for s in spots if s < n], cuts, strict=True))
+    found = key_cuts(df, {"at": at}, tie, positions, limit)["at"]
 
     def after(spot: int) -> Column:
         return _at_or_after(at, tie, found[spot]) if spot in found else F.lit(False)
@@ -72,8 +71,8 @@ def walk_forward_folds(
             raise ValueError("too few rows for the number of folds")
         return [n - (folds - i) * step for i in range(folds)]
 
-    _, cuts = key_cuts(df, at, tie, positions, limit)
+    cuts = key_cuts(df, {"at": at}, tie, positions, limit)["at"]
     fold = F.lit(-1)
-    for cut in cuts:
+    for cut in cuts.values():
         fold = fold + _at_or_after(at, tie, cut).cast("int")
     return df.withColumn("test_fold", fold)

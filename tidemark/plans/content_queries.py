@@ -156,7 +156,7 @@ def high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = high_risk(spark, sf_dir)
     docs = documents(spark, sf_dir)
-    found = retrieval.retrieve_contexts(people.select("query_id", "text"), docs, max_queries=100)
+    found = retrieval.retrieve_contexts(people.select("query_id", "text"), docs)
     return people.drop("text").join(found, "query_id").drop("query_id")
 
 
