@@ -7,5 +7,6 @@ from tidemark.plans import (  # noqa: F401
     experiment_queries,
     event_queries,
     content_queries,
+    model_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
