@@ -175,13 +175,13 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "arm_stats",
     sql(
-        "SELECT assignment, count(revenue) AS n, round(sum(revenue), 3) AS total, round(avg(revenue), 6) AS mean, round(var_samp(revenue), 3) AS variance FROM outcomes GROUP BY 1",
+        "SELECT assignment, count(revenue) AS n, round(sum(revenue), 6) AS total, round(avg(revenue), 10) AS mean, round(var_samp(revenue), 3) AS variance FROM outcomes GROUP BY 1",
         "outcomes",
     ),
 )
 def _arm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = ex.arm_stats(outcomes(spark, sf_dir), "revenue")
-    return _rounded(_rounded(stats, 3, "total", "variance"), 6, "mean")
+    return _rounded(_rounded(_rounded(stats, 3, "variance"), 6, "total"), 10, "mean")
 
 
 cte(
@@ -213,13 +213,14 @@ def welch_sql(source: str, value: str) -> str:
 @query(
     "ab_welch",
     sql(
-        f"SELECT round(mean_diff, 6) AS mean_diff, round(t_stat, 6) AS t_stat, round(df, 4) AS df FROM {welch_sql('outcomes', 'revenue')}",
+        f"SELECT round(mean_diff, 10) AS mean_diff, round(t_stat, 9) AS t_stat, round(df, 4) AS df FROM {welch_sql('outcomes', 'revenue')}",
         "outcomes",
     ),
 )
 def _welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = ex.welch(ex.two_arms(outcomes(spark, sf_dir), "revenue"))
-    return _rounded(_rounded(test.select("mean_diff", "t_stat", "df"), 6, "mean_diff", "t_stat"), 4, "df")
+    rounded = _rounded(test.select("mean_diff", "t_stat", "df"), 10, "mean_diff")
+    return _rounded(_rounded(rounded, 9, "t_stat"), 4, "df")
 
 
 @query("ab_welch_p_value")
