@@ -86,3 +86,12 @@ def test_stream_in_several_triggers_equals_batch(spark):
 def test_watermark_option(spark):
     df = events(spark, [(1, 1, 1, "a", 1.0), (2, 4000, 1, "a", 1.0)])
     assert state.tumbling_counts(df, late="10 minutes").count() == 2
+
+
+def test_merge_and_read(spark):
+    stored = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "customer_id int, n int, t string")
+    updates = spark.createDataFrame([(2, 7, 1.5), (3, None, 2.5)], "customer_id int, n int, x double")
+    merged = state.merge_features(stored, updates)
+    assert {tuple(r) for r in merged.collect()} == {(1, 5, "a", None), (2, 7, "b", 1.5), (3, None, None, 2.5)}
+    wanted = spark.createDataFrame([(2,), (9,)], "customer_id int")
+    assert {tuple(r) for r in state.read_features(stored, wanted).collect()} == {(2, 6, "b"), (9, None, None)}

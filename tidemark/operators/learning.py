@@ -314,7 +314,7 @@ def guardrail_rows(
         {
             "duplicates": duplicates.scalar(),
             "drift": psi.agg(F.struct(F.max("psi").alias("m"), F.count_if(F.col("psi") > 0.2).alias("n"))).scalar(),
-            "print": fingerprint.select(F.col("checksum").cast("string")).scalar(),
+            "print": fingerprint.select("checksum").scalar(),
         }
     )
     minority = F.least(F.col("rate"), 1 - F.col("rate"))

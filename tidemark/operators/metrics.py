@@ -113,9 +113,11 @@ def binary_metrics(
     return ranked.withColumn("cut", cut.select(row).scalar()).select("*", "cut.*").drop("cut")
 
 
-def _with_positives(points: DataFrame) -> DataFrame:
-    totals = points.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
-    return points.withColumn("total", totals.scalar()).select(
+def _counted_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Score points with the class totals of the whole frame."""
+    y = F.col(label).cast("bigint")
+    totals = df.agg(F.struct(F.sum(y).alias("p"), F.sum(1 - y).alias("n")))
+    return score_points(df, label, score).withColumn("total", totals.scalar()).select(
         "threshold",
         "tp",
         "fp",
@@ -126,7 +128,7 @@ def _with_positives(points: DataFrame) -> DataFrame:
 
 def pr_curve(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
     """Precision and recall at every distinct threshold."""
-    points = _with_positives(score_points(df, label, score))
+    points = _counted_points(df, label, score)
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("positives")), F.lit(1.0))
     return points.select(
         "threshold", _precision().alias("precision"), recall.alias("recall"), "tp", "fp"
@@ -137,7 +139,7 @@ def profit_curve(
     df: DataFrame, ltv: float, incentive_cost: float, label: str = "y", score: str = "score"
 ) -> DataFrame:
     """Expected profit of targeting every score at or above each threshold."""
-    points = _with_positives(score_points(df, label, score))
+    points = _counted_points(df, label, score)
     missed = F.col("positives") - F.col("tp")
     profit = F.col("tp") * ltv - F.col("fp") * incentive_cost - missed * ltv
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("positives")), F.lit(1.0))
@@ -172,7 +174,7 @@ def f1_threshold(df: DataFrame, label: str = "y", score: str = "score") -> DataF
 
 def youden_threshold(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
     """Threshold of the largest TPR - FPR, the highest one on ties; infinite if none is above 0."""
-    points = _with_positives(score_points(df, label, score))
+    points = _counted_points(df, label, score)
     tp, fp = F.col("tp").cast("decimal(18,0)"), F.col("fp").cast("decimal(18,0)")
     pos, neg = F.col("positives").cast("decimal(19,0)"), F.col("negatives").cast("decimal(19,0)")
     ranked = points.withColumn("gap", (tp * neg - fp * pos).cast(EXACT))

@@ -71,6 +71,25 @@ def online_features(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_features(current: DataFrame, updates: DataFrame) -> DataFrame:
+    """Upsert per customer: an update's value wins, a NULL in it keeps the stored one."""
+    stored, new = current.alias("s"), updates.alias("n")
+    columns = [c for c in dict.fromkeys([*current.columns, *updates.columns]) if c != "customer_id"]
+
+    def merged(c: str) -> Column:
+        sides = [f"n.{c}"] * (c in updates.columns) + [f"s.{c}"] * (c in current.columns)
+        return F.coalesce(*sides).alias(c)
+
+    key = F.coalesce("n.customer_id", "s.customer_id").alias("customer_id")
+    joined = stored.join(new, F.col("s.customer_id") == F.col("n.customer_id"), "full")
+    return joined.select(key, *[merged(c) for c in columns])
+
+
+def read_features(state: DataFrame, customers: DataFrame) -> DataFrame:
+    """Stored features of the given customers; unknown ones have NULLs."""
+    return customers.select("customer_id").join(state, "customer_id", "left")
+
+
 def rule_risk(carts: Column, cart_value: Column) -> Column:
     """Risk without a model: grows with abandoned carts and a large last cart."""
     large = (F.coalesce(cart_value, F.lit(0.0)) > 100).cast("double")

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from tidemark.functions.hashing import row_checksum
 
@@ -94,9 +95,16 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row in every column."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+    """Rows that repeat an earlier row in every column.
+
+    Rows meet by a 256-bit digest, so long texts are not shuffled.
+    """
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
+    # Adding 0.0 makes negative zero equal to zero.
+    cells = [(F.col(c) + F.lit(0.0) if c in floating else F.col(c)).alias(c) for c in df.columns]
+    digest = F.sha2(F.to_json(F.struct(*cells)), 256).alias("row")
+    groups = df.select(digest).groupBy("row").agg(F.count("*").alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def constraint_tests(
@@ -138,10 +146,11 @@ def constraint_tests(
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free checksum over all columns."""
-    total = F.sum(row_checksum(*[F.col(c) for c in df.columns]))
+    """Row count and an order-free checksum over all columns, as text: the sum outgrows 64 bits."""
+    total = F.sum(row_checksum(*[F.col(c) for c in df.columns]).cast("decimal(20,0)"))
     return df.agg(
-        F.count("*").alias("total_rows"), F.coalesce(total, F.lit(0)).alias("checksum")
+        F.count("*").alias("total_rows"),
+        F.coalesce(total, F.lit(0)).cast("string").alias("checksum"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import iso_date
+from tidemark.session import settle
 
 # Columns whose value distribution is reported.
 DISTRIBUTION_COLUMNS = (
@@ -109,22 +110,21 @@ def segment_distributions(
         .groupBy("dimension", "name")
         .agg(F.count("*").alias("count"), F.avg("churn_probability").alias("risk"))
     )
-    per_dimension = Window.partitionBy("dimension")
-    ranked = counted.withColumns(
-        {
-            "total": F.sum("count").over(per_dimension),
-            "position": F.row_number().over(
-                per_dimension.orderBy(F.col("count").desc(), F.col("name"))
-            ),
-        }
-    )
-    return ranked.where(F.col("position") <= top).select(
-        "dimension",
-        "position",
-        "name",
-        F.round(F.col("count") / F.col("total"), 4).alias("share"),
-        "count",
-        F.round("risk", 3).alias("risk"),
+    # One row per reported column.
+    totals = counted.groupBy("dimension").agg(F.sum("count").alias("total"))
+    order = Window.partitionBy("dimension").orderBy(F.col("count").desc(), F.col("name"))
+    ranked = counted.withColumn("position", F.row_number().over(order))
+    return (
+        ranked.where(F.col("position") <= top)
+        .join(F.broadcast(totals), "dimension")
+        .select(
+            "dimension",
+            "position",
+            "name",
+            F.round(F.col("count") / F.col("total"), 4).alias("share"),
+            "count",
+            F.round("risk", 3).alias("risk"),
+        )
     )
 
 
@@ -168,10 +168,10 @@ def _one_decimal(value: Column) -> Column:
 def insights(scored: DataFrame, limit: int = 5) -> DataFrame:
     """Up to ``limit`` findings as (position, title, text).
 
-    One pass reduces the customers to a small cube of group sums; every finding is an
-    aggregate of that cube.
+    One pass reduces the customers to a small cube of group sums, which is written once;
+    every finding is an aggregate of that cube.
     """
-    cube = scored.groupBy(
+    sums = scored.groupBy(
         "age_group", "is_repeat_customer", "risk_tier", "top_category_bought"
     ).agg(
         F.count("*").alias("n"),
@@ -182,6 +182,7 @@ def insights(scored: DataFrame, limit: int = 5) -> DataFrame:
         F.sum("avg_rating_given").alias("rating_sum"),
         F.count("avg_rating_given").alias("rating_n"),
     )
+    cube = settle(sums, "cube")
 
     def mean(top: str, bottom: str, cond: Column | None = None) -> Column:
         num, den = F.col(top), F.col(bottom)

@@ -12,14 +12,14 @@ from tidemark.plans.base_sql import cte, sql
 from tidemark.plans.registry import query
 from tidemark.plans.report_queries import customer_view
 from tidemark.session import settle
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 REASON = "High churn risk: elevated recency, low purchase activity"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(
