@@ -170,9 +170,9 @@ def _guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------- fitted models: no plain SQL states these ----------
 
 QUICK = {
-    "logistic": {"maxIter": 50},
-    "gbt": {"maxIter": 8, "maxDepth": 3, "seed": 42},
-    "random_forest": {"numTrees": 15, "maxDepth": 5, "seed": 42},
+    "logistic": {"maxIter": 30},
+    "gbt": {"maxIter": 5, "maxDepth": 3, "seed": 42},
+    "random_forest": {"numTrees": 10, "maxDepth": 5, "seed": 42},
 }
 
 
@@ -185,7 +185,7 @@ def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("out_of_fold")
 def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.out_of_fold(training(spark, sf_dir), ["logistic"], QUICK, folds=5)
+    return learning.out_of_fold(training(spark, sf_dir), ["logistic"], QUICK, folds=3)
 
 
 @query("model_comparison")
@@ -198,10 +198,10 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training(spark, sf_dir)
     people = profiles(spark, sf_dir, columns=("customer_id", "last_order_date"))
     timed = splits.walk_forward_folds(
-        settle(rows.join(people, "customer_id"), "timed"), "last_order_date", "customer_id", 3
+        settle(rows.join(people, "customer_id"), "timed"), "last_order_date", "customer_id", 2
     ).drop("last_order_date")
     grids = {"random_forest": [{"numTrees": 10, "maxDepth": d, "seed": 42} for d in (3, 5)]}
-    return learning.tune(settle(timed, "timed"), grids, folds=(0, 1, 2))
+    return learning.tune(settle(timed, "timed"), grids, folds=(0, 1))
 
 
 @query("model_importance")

@@ -122,7 +122,7 @@ def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "table_fingerprint",
     """SELECT count(*) AS total_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', COALESCE(CAST(o_orderkey AS VARCHAR), '~'),
-  COALESCE(CAST(o_custkey AS VARCHAR), '~'), COALESCE(o_orderstatus, '~'), COALESCE(o_orderpriority, '~'))), 1, 8) AS BIGINT)) AS BIGINT) AS checksum
+  COALESCE(CAST(o_custkey AS VARCHAR), '~'), COALESCE(o_orderstatus, '~'), COALESCE(o_orderpriority, '~'))), 1, 8) AS BIGINT)) AS VARCHAR) AS checksum
 FROM orders""",
 )
 def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
