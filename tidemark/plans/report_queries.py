@@ -18,7 +18,7 @@ from tidemark.sources.tables import table
 
 def rnd(expr: str, digits: int) -> str:
     """Decimal rounding, half away from zero."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(28,8)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 # ---------- quality ----------
