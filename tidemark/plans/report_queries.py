@@ -17,8 +17,8 @@ from tidemark.sources.tables import table
 
 
 def rnd(expr: str, digits: int) -> str:
-    """Decimal rounding, half away from zero."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
+    """Half-up rounding of the shortest decimal text of a number."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 # ---------- quality ----------
