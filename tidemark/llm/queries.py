@@ -10,8 +10,10 @@ from tidemark.llm.chat import chat_digests, format_chats
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.order_minhash import near_documents
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.pitman_yor import score_corpus
 from tidemark.llm.registry import query
 from tidemark.llm.secret_scan import find_secrets
+from tidemark.llm.toxicity import held_out, score_texts, train
 from tidemark.llm.vectors import near_vectors
 from tidemark.llm.warc import read_archives, resolve_revisits, write_archives
 from tidemark.session import scratch_path
@@ -183,3 +185,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         written(F.col("spans")).alias("spans"),
         count("literal"),
     )
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "toxic")
+    scored = score_texts(docs, ["doc_id"], "text", model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_pitman_yor")
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_corpus(docs, "doc_id", "text", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    return scored.select(
+        "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
