@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(0x5EED)
-_BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -93,7 +93,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of each byte span; equal bytes have equal hashes, anywhere."""
     up, down = powers(len(data))
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=prefix[1:])
+    np.cumsum(BYTE_CODES[data] * up[: len(data)], out=prefix[1:])
     value = (prefix[ends] - prefix[starts]) * down[starts]
     return mix(value + (ends - starts).astype(np.uint64) * _BASE)
 

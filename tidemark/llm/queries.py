@@ -13,6 +13,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.pitman_yor import score_corpus
 from tidemark.llm.registry import query
 from tidemark.llm.secret_scan import find_secrets
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.toxicity import held_out, score_texts, train
 from tidemark.llm.vectors import near_vectors
 from tidemark.llm.warc import read_archives, resolve_revisits, write_archives
@@ -202,3 +203,34 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, s, substr(h, CAST(2 * s + 1 AS INTEGER), 200) AS gram
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM d)
+), f AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY gram ORDER BY doc_id, s) AS k FROM w
+), m AS (SELECT doc_id, s FROM f WHERE k > 1),
+e AS (SELECT doc_id, s, max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
+g AS (SELECT doc_id, s, sum(CASE WHEN reach IS NULL OR reach < s THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM e),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY 1, 2),
+pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q, a, b FROM spans
+), per AS (
+  SELECT x.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, CAST(2 * p + 1 AS INTEGER), CAST(2 * (q - p) AS INTEGER)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS INTEGER)) AS kept
+  FROM pieces x JOIN d ON x.doc_id = d.doc_id GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN per ON d.doc_id = per.doc_id
+"""
+
+
+@query("op4_suffix_dedup", REPEATS_SQL)
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
