@@ -12,7 +12,7 @@ from tidemark.llm.columns import BYTE_CODES, mix, powers, ragged_ranges, segment
 from tidemark.llm.packets import narrow, pack, unpack
 
 # Bytes of the text that one shard holds, about, and of the piece of it that is hashed at once.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SEGMENT = 1 << 19
 # A byte no UTF-8 text holds.
 SEPARATOR = 0xFF
