@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.columns import VISIBLE_BYTES, byte_slices, hashed_words, mix, ragged_ranges, segment_sums
 from tidemark.llm.packets import join_small, narrow, pack, split_small, unpack
+from tidemark.session import settle
 
 # Discounts and strengths of the restaurants of one context word and of their parent, which serves every word.
 PAIR_DISCOUNT, PAIR_STRENGTH = 0.8, 1.0
 WORD_DISCOUNT, WORD_STRENGTH = 0.6, 10.0
 # Sweeps before and with a sample.
-BURN_IN, SAMPLES = 2, 3
-# Customers of one dish up to which tables are drawn from their exact conditional; more are seated one by one.
-EXACT = 256
+BURN_IN, SAMPLES = 1, 3
+# Customers of one dish up to which tables are drawn from their exact conditional; more are seated block by block.
+EXACT = 32
+# A block is this share of the customers seated before.
+BLOCK = 1 / 16
 
 # Tokens of one chunk of documents and, about, of one bucket of restaurants.
 CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 1_500_000
@@ -31,19 +34,6 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the gamma function for positive numbers, by Stirling's series after eight steps up."""
-    x = np.asarray(x, float)
-    low = np.zeros_like(x)
-    for _ in range(8):
-        low += np.log(np.where(x < 8, x, 1))
-        x = np.where(x < 8, x + 1, x)
-    inverse = 1 / x
-    square = inverse * inverse
-    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + series - low
-
-
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     """``[c, t]``: log of the generalised Stirling number, which weighs all seatings of c customers at t tables."""
     out = np.full((most + 1, most + 2), -np.inf)
@@ -59,55 +49,41 @@ def sample_tables(customers, others, base, discount: float, strength: float, tab
     """Draw each dish's number of tables given its customers, the restaurant's other tables and the parent's probability.
 
     Up to EXACT customers this is a Gibbs step from the exact conditional: Stirling number times the chances of opening
-    the tables. More customers are seated one after another by the restaurant's rule, from table to new table: the
-    wait until the next is drawn at once.
+    the tables. More customers are seated by the restaurant's rule, a block at a time.
     """
     customers = np.asarray(customers, np.int64)
+    others = np.broadcast_to(others, customers.shape)
     tables = np.minimum(customers, 1)
     several = np.flatnonzero(customers > 1)
     several = several[np.argsort(customers[several], kind="stable")]
-    sizes = customers[several]
-    # Dishes of like counts together, in groups that bound the matrix.
-    low = 0
-    while low < len(several) and sizes[low] <= EXACT:
-        most = int(min(EXACT, max(4, 2 ** int(np.ceil(np.log2(sizes[low]))))))
-        high = min(int(np.searchsorted(sizes, most, side="right")), low + max(1, (1 << 21) // most))
+    edges = np.searchsorted(customers[several], np.arange(2, EXACT + 2))
+    for count, low, high in zip(range(2, EXACT + 1), edges[:-1], edges[1:], strict=True):
+        if low == high:
+            continue
         rows = several[low:high]
-        steps = np.arange(1, most)
-        opening = np.log(strength + discount * (others[rows, None] + steps)) + np.log(base[rows])[:, None]
-        logits = table[customers[rows], 1 : most + 1].copy()
-        logits[:, 1:] += np.cumsum(opening, axis=1)
-        logits -= logits.max(axis=1, keepdims=True)
-        cumulative = np.cumsum(np.exp(logits), axis=1)
+        opening = np.log(strength + discount * (others[rows, None] + np.arange(1, count)))
+        opening += np.log(base[rows])[:, None]
+        weights = np.cumsum(opening, axis=1) + (table[count, 2 : count + 1] - table[count, 1])
+        top = np.maximum(weights.max(axis=1), 0)
+        cumulative = np.cumsum(np.exp(np.column_stack([-top, weights - top[:, None]])), axis=1)
         draw = rng.random(len(rows)) * cumulative[:, -1]
-        tables[rows] = 1 + (cumulative < draw[:, None]).sum(axis=1)
-        low = high
-    if low < len(several):
-        tables[several[low:]] = _seat_many(customers[several[low:]], others[several[low:]], base[several[low:]], discount, strength, rng)
+        tables[rows] = 1 + (cumulative[:, :-1] < draw[:, None]).sum(axis=1)
+    many = several[edges[-1] :]
+    tables[many] = _seat_many(customers[many], others[many], base[many], discount, strength, rng)
     return tables
 
 
 def _seat_many(customers, others, base, discount, strength, rng) -> np.ndarray:
-    """Tables of dishes with many customers, each seated by the restaurant's rule."""
+    """Tables of dishes with many customers: a block opens as many as its first customer's chance gives, independently."""
     tables = np.ones(len(customers), np.int64)
     seated = np.ones(len(customers), np.int64)
-    open_ = np.flatnonzero(seated < customers)
+    open_ = np.arange(len(customers))
     while len(open_):
-        t, j, c = tables[open_], seated[open_], customers[open_]
+        t, j = tables[open_], seated[open_]
         chance = (strength + discount * (others[open_] + t)) * base[open_]
-
-        def joined(k, t=t, chance=chance):
-            return log_gamma(k - discount * t) - log_gamma(chance + k - discount * t)
-
-        goal = joined(j) + np.log(1 - rng.random(len(open_)))
-        low, high = j.copy(), c.copy()  # the last number of customers up to which all have joined lies in [low, high]
-        while (low < high).any():
-            middle = (low + high + 1) // 2
-            holds = joined(middle) >= goal
-            low, high = np.where(holds, middle, low), np.where(holds, high, middle - 1)
-        new = low < c
-        tables[open_[new]] += 1
-        seated[open_] = np.minimum(low + 1, c)
+        block = np.minimum(np.maximum(1, (j * BLOCK).astype(np.int64)), customers[open_] - j)
+        tables[open_] += rng.binomial(block, chance / (chance + j - discount * t))
+        seated[open_] += block
         open_ = open_[seated[open_] < customers[open_]]
     return tables
 
@@ -165,8 +141,6 @@ def _count(batches):
 def plan_layout(docs: DataFrame, seed: int) -> Layout:
     """Read the corpus once for the layout; the driver gets three small results of bounded size."""
     found = docs.mapInArrow(_count, "kind bigint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    from tidemark.session import settle
-
     found = settle(found, "word-counts")
     total = found.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     heavy = found.where((F.col("kind") == 1) & (F.col("n") >= HEAVY_SHARE * total)).select("key").collect()
@@ -287,6 +261,14 @@ class Bucket:
                 out.append(tables)
         return out
 
+    def tables(self, body: bytes) -> list[np.ndarray]:
+        """The samples as sent: tables of pairs with several customers; one customer has one table."""
+        parts, out = unpack(body), []
+        for _ in range(SAMPLES):
+            out.append(np.minimum(self.customers, 1))
+            out[-1][self.customers > 1] = join_small(parts)
+        return out
+
 
 def word_probability(customers, tables, all_customers, all_tables, words: float):
     """The parent's predictive probability of a word; ``words`` known ones and one unknown share its base evenly."""
@@ -298,7 +280,10 @@ REQUEST = "owner bigint, bucket bigint, body binary"
 
 
 def _requests(layout: Layout):
-    """From a bucket to the owner of each of its words: training tokens and sampled tables; heavy contexts likewise."""
+    """From a bucket to the owner of each of its words: training tokens and sampled tables; heavy contexts likewise.
+
+    The tables of pairs that have a choice go to the bucket itself, by way of an owner without a number.
+    """
 
     def run(key, table):
         number = key[0].as_py()
@@ -319,7 +304,10 @@ def _requests(layout: Layout):
             for x in here:
                 parts += split_small(x[u])
             bodies.append(pack(*parts))
-        return pa.table({"owner": np.arange(layout.buckets), "bucket": np.full(layout.buckets, number), "body": pa.array(bodies, pa.binary())})
+        free = bucket.customers > 1
+        bodies.append(pack(*(x for t in samples for x in split_small(t[free]))))
+        owners = np.append(np.arange(layout.buckets), -1 - number)
+        return pa.table({"owner": owners, "bucket": np.full(len(owners), number), "body": pa.array(bodies, pa.binary())})
 
     return run
 
@@ -328,6 +316,8 @@ def _replies(layout: Layout):
     """From an owner of words to every bucket: the words' counts and tables in the parent, and heavy contexts' totals."""
 
     def run(key, table):
+        if key[0].as_py() < 0:
+            return table.select(["bucket", "owner", "body"])
         rng = np.random.default_rng([layout.seed, key[0].as_py(), 2])
         word_table = log_stirling(WORD_DISCOUNT)
         order = np.argsort(table.column("bucket").to_numpy())
@@ -377,9 +367,10 @@ def _scores(layout: Layout):
     """Each chunk's sums over documents of what a bucket's word pairs are worth; lists of documents pass through."""
 
     def run(key, table, replies):
-        number = key[0].as_py()
         bucket = Bucket(table, layout)
-        samples = bucket.sample(layout, number)
+        own = replies.column("owner").to_numpy()
+        samples = bucket.tables(replies.column("body")[int(np.flatnonzero(own < 0)[0])].as_py())
+        replies = replies.take(pa.array(np.flatnonzero(own >= 0)))
         word_owner = layout.owner_of(bucket.words)
         heavy = np.flatnonzero(bucket.heavy)
         context_owner = layout.owner_of(bucket.contexts[heavy])
@@ -401,7 +392,7 @@ def _scores(layout: Layout):
             eaters[u] = join_small(parts)
             for k in range(SAMPLES):
                 laid[k, u] = join_small(parts)
-        probability = np.zeros(len(bucket.pair) and len(bucket.customers))
+        probability = np.zeros(len(bucket.customers))
         for k in range(SAMPLES):
             base = word_probability(served[k], parent[k], head[2 + k], head[2 + SAMPLES + k], float(head[1]))[bucket.word]
             own = np.maximum(bucket.customers - PAIR_DISCOUNT * samples[k], 0)
