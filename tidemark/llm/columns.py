@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes worked on at once; temporary arrays take some ten to forty times as much.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(0x5EED)
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
