@@ -146,15 +146,15 @@ def _tile_pairs(similarity: float):
 
     def pairs(batch: pa.RecordBatch):
         left = batch.column("left").to_numpy(zero_copy_only=False)
-        anchor, cid, component, n = (batch.column(c).to_numpy() for c in ("anchor", "cid", "component", "n_words"))
+        cid, component, n = (batch.column(c).to_numpy() for c in ("cid", "component", "n_words"))
         counts = _counts(batch.column("counts"))
         one = np.flatnonzero(left)
         two = np.flatnonzero(~left) if not left.all() else one
         out = []
         for i in one:
             j = two[two > i] if two is one else two
-            j = j[(component[j] != component[i]) & (cid[j] != anchor[i])]
-            if cid[i] == anchor[i] or not len(j):
+            j = j[component[j] != component[i]]
+            if not len(j):
                 continue
             limit = _limit(np.maximum(n[i], n[j]), similarity)
             j = j[(np.abs(n[i] - n[j]) <= limit) & (np.abs(counts[j] - counts[i]).sum(axis=1) <= 2 * limit)]
@@ -200,10 +200,10 @@ def near_documents(docs: DataFrame, key: str, text: str, similarity: float = 0.8
     linked; texts without words (null ones count as empty) only when they are equal. Any columns may be null, rows may
     repeat, and an empty table gives empty results.
 
-    Equal texts are one class from the start. A bucket sends each member to its least one, first; only where verified
-    links leave a bucket in several components are its other members compared, by word counts in tiles, and what they
-    leave is verified too. So a group of any size costs a pair per member and bucket, and no pair of different texts is
-    lost that is not connected already.
+    Equal texts are one class from the start. Each class is first compared with one other, the least of most of its
+    buckets; only where verified links leave a bucket in several components are all its members compared across these, by
+    word counts in tiles, and what they leave is verified too. So a group of any size costs a pair per member, and no
+    pair of different texts is lost that is not connected already.
     """
     row, = fresh_names(docs.columns, "row")
     work = settle(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
@@ -244,43 +244,47 @@ def _links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     )
     members = settle(keyed.join(shared, ["repeat", "key"]).select("repeat", "key", "anchor", "n", "cid", "n_words"), "bucket-members")
 
-    stars = members.where("cid <> anchor").select(F.col("anchor").alias("a"), F.col("cid").alias("b")).distinct()
+    # One pair for each class: with the least class of most of its buckets.
+    stars = members.where("cid <> anchor").groupBy("cid").agg(F.mode("anchor", True).alias("a")).select("a", F.col("cid").alias("b"))
     for side in ("a", "b"):
         stars = stars.join(slim.select(F.col("cid").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}")), side)
     close = stars.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_plausible(similarity), "a bigint, b bigint")
-    first = _verified(settle(close, "star-pairs"), texts, similarity)
-    first = settle(first, "star-links")
+    close = settle(close, "star-pairs")
+    first = settle(_verified(close, texts, similarity), "star-links")
 
     reached = components(first, "a", "b").select(F.col("id").alias("cid"), "component")
     split = settle(members.join(reached, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "bucket-components")
     mixed = settle(
         split.groupBy("repeat", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("repeat", "key"), "mixed-buckets"
     )
-    split = split.join(mixed, ["repeat", "key"], "left_semi").where("n > 2")
+    split = split.join(mixed, ["repeat", "key"], "left_semi")
     split = split.join(slim.select("cid", "counts"), "cid")
     # A bucket of n members has ceil(n / TILE) blocks, and a tile for each pair of them: the smaller number is left.
     blocks = split.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("bigint"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tiles = blocks.select(
         "repeat", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-        (F.col("own") <= F.col("other")).alias("left"), "anchor", "cid", "component", "n_words", "counts",
+        (F.col("own") <= F.col("other")).alias("left"), "cid", "component", "n_words", "counts",
     )
     tile = ["repeat", "key", "one", "two"]
     tiles = tiles.repartition(*tile).sortWithinPartitions(*tile)
-    more = settle(tiles.mapInArrow(_tile_pairs(similarity), "a bigint, b bigint").distinct(), "tile-pairs")
+    more = tiles.mapInArrow(_tile_pairs(similarity), "a bigint, b bigint").distinct()
+    more = settle(more.join(close, ["a", "b"], "left_anti"), "tile-pairs")
     return first.unionByName(_verified(more, texts, similarity))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are similar enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = settle(texts.join(needed, "row", "left_semi"), "pair-texts")
+    # Sorted joins at every size: what they move then grows with the input, and Spark splits a hot class.
+    texts = settle(texts.join(needed.hint("merge"), "row", "left_semi"), "pair-texts")
     for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")), side)
+        pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a bigint, b bigint")
 
 
 def keep_first(docs: DataFrame, key: str, text: str, similarity: float = 0.8) -> DataFrame:
     """One row of each group of ``near_documents``, with the columns of ``docs``."""
     work, groups = near_documents(docs, key, text, similarity)
-    return work.join(groups.where("kept").select(groups.columns[0]), groups.columns[0], "left_semi").select(*docs.columns)
+    kept = groups.where("kept").select(groups.columns[0]).hint("merge")
+    return work.join(kept, groups.columns[0], "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ PIECES = "piece_start bigint, piece_length bigint, ids binary, doc_tokens bigint
 # Rows numbered by one task; Spark's own monotonically increasing ids leave as many.
 _PER_TASK = 1 << 33
 
+# Different pieces of text whose ids a task remembers.
+KNOWN_PIECES = 500_000
+
 _TOKENIZERS: dict = {}
 
 
@@ -31,11 +35,11 @@ def load_tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def encode_texts(column, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(column, tokenizer, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts (null: empty) in one array, and the offset of each text.
 
     For tokenizers that drop white space and never join across it: texts are cut at blanks and line ends, and every
-    different piece is encoded once per call.
+    different piece is encoded once, as long as ``known`` holds its ids; it starts anew above KNOWN_PIECES pieces.
     """
     data, offsets = text_buffer(column)
     blank = (data == 32) | (data == 10)
@@ -53,10 +57,15 @@ def encode_texts(column, tokenizer) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(packed))
     coded = pc.dictionary_encode(words)
-    found = tokenizer.encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False) if len(coded.dictionary) else []
-    ids = [x.ids for x in found]
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
+    pieces = coded.dictionary.to_pylist()
+    if len(known) > KNOWN_PIECES:
+        known.clear()
+    missing = [p for p in pieces if p not in known]
+    for piece, found in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+        known[piece] = array("I", found.ids).tobytes()
+    ids = [known[p] for p in pieces]
+    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.uint32)
     first = np.cumsum(counts) - counts
     code = coded.indices.to_numpy(zero_copy_only=False)
     per_word = counts[code] if len(code) else np.zeros(0, np.int64)
@@ -94,10 +103,10 @@ def pack_documents(docs: DataFrame, keys: list[str], text: str, tokenizer_path:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keys)]) + ", " + PIECES
 
     def run(batches):
-        tokenizer = load_tokenizer(tokenizer_path)
+        tokenizer, known = load_tokenizer(tokenizer_path), {}
         number = TaskContext.get().partitionId() * _PER_TASK
         for batch in byte_slices(batches, "_text"):
-            tokens, at = encode_texts(batch.column("_text"), tokenizer)
+            tokens, at = encode_texts(batch.column("_text"), tokenizer, known)
             sizes = np.diff(at) + 1
             ends = np.cumsum(sizes)
             ids = np.full(int(ends[-1]), end_id, np.uint32)

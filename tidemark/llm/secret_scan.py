@@ -154,7 +154,7 @@ def _scanned(batch: pa.RecordBatch, at: int, threshold: float) -> dict[int, list
     hinted, access, hexed = _worth(batch.column(at))
     found = {}
     for row in np.flatnonzero(hinted | access | hexed).tolist():
-        if spans := scan_text(batch.column(at)[row].as_py(), threshold, bool(hinted[row]), bool(hexed[row])):
+        if spans := scan_text(batch.column(at)[row].as_py() or "", threshold, bool(hinted[row]), bool(hexed[row])):
             found[row] = spans
     return found
 
@@ -165,7 +165,7 @@ def find_secrets(docs: DataFrame, keys: list[str], text: str, threshold: float =
     Kinds ``assign``, ``access`` and ``hex`` are the fixed patterns, matched leftmost without overlap and dropped when
     too short. ``literal`` is the value that an assignment in code or configuration syntax gives to a sensitive name,
     directly or through a constant, where name and value together score ``threshold`` or more; it may overlap others.
-    Null and empty texts have no spans; repeated rows are reported each; ``keys`` may be null and have any other name,
+    Null and empty texts have no spans; repeated rows are reported each; ``keys`` may be null and have any name but ``spans``,
     and no rows give none. Nothing is shuffled.
     """
     name, = fresh_names(keys, "text")
@@ -193,7 +193,7 @@ def redact_secrets(docs: DataFrame, text: str, marker: str = "[SECRET]", thresho
             found = _scanned(batch, at, threshold)
             if found:
                 texts = batch.column(at).to_pylist()
-                for row, spans in found.items():
+                for row, spans in found.items():  # never a null text
                     parts, last = [], 0
                     for _, a, b in spans:
                         if a >= last:
