@@ -22,6 +22,7 @@ def hash_bucket(key: Column, seed: int | str, buckets: int) -> Column:
 
 
 def row_checksum(*cols: Column) -> Column:
-    """32-bit checksum of a row as bigint; NULLs count."""
-    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    """64-bit checksum of a row as decimal(20,0); values go in with their lengths, so none runs into the next, and NULLs count."""
+    texts = [c.cast("string") for c in cols]
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts]
+    return F.conv(F.substring(F.md5(F.concat(*parts).cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")

@@ -91,11 +91,15 @@ def churn_labels(profiles: DataFrame) -> DataFrame:
     for col in (LABEL, ID):
         if col not in profiles.columns:
             raise ValueError(f"column not found: {col}")
+    return profiles.select(ID, checked_label().cast("int").alias(TARGET))
+
+
+def checked_label() -> Column:
+    """One less the repeat flag, which must be 0, 1 or NULL."""
     flag = F.col(LABEL)
-    checked = F.when(flag.isNull() | flag.isin(0, 1), F.lit(1) - flag).otherwise(
+    return F.when(flag.isNull() | flag.isin(0, 1), F.lit(1) - flag).otherwise(
         F.raise_error(F.lit(f"{LABEL} must only contain 0/1"))
     )
-    return profiles.select(ID, checked.cast("int").alias(TARGET))
 
 
 def recency_churn_labels(
@@ -168,7 +172,7 @@ def training_set(profiles: DataFrame, reference: str | None = None) -> DataFrame
     return df.select(
         ID,
         *[exprs.get(c, F.col(c)).alias(c) for c in FEATURE_COLUMNS],
-        (F.lit(1) - F.col(LABEL)).cast("int").alias(TARGET),
+        checked_label().cast("int").alias(TARGET),
         (F.col("last_order_date").isNull() | late).cast("int").alias(RECENCY_TARGET),
     )
 

@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.operators import metrics as mt
 from tidemark.operators import preprocessing as pp
@@ -273,13 +274,20 @@ def model_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, mean_abs_contribution double")
 
 
+def moved_on(column: str, ring: WindowSpec) -> Column:
+    """The value of the row before on the ring; the first row of a ring takes the last one's."""
+    held = F.struct(F.col(column).alias("v"))  # never NULL, whatever the value
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.lag(held, 1).over(ring), F.last(held).over(whole))["v"]
+
+
 def permutation_importance(
     model: Transformer, df: DataFrame, columns: Sequence[str], label: str = LABEL, key: str = KEY
 ) -> DataFrame:
     """AUC lost when a column's values are handed to other rows.
 
-    Values move along a hash ring of the keys: each row takes the value of a row in the
-    same small hash bucket, so no global shuffle order is needed.
+    Values, missing ones too, move one row on along a hash ring of the keys in the same small hash
+    bucket, so no global shuffle order is needed and a bucket's rows keep its values.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // 1000)))
     ring = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.col(key), F.lit(7)), F.col(key))
@@ -287,8 +295,7 @@ def permutation_importance(
     scored = positive(model, df, "score").select(F.lit("_none").alias("feature"), label, "score")
     parts = [scored]
     for c in columns:
-        moved = F.coalesce(F.lag(c, 1).over(ring), F.first(c).over(ring.rowsBetween(0, Window.unboundedFollowing)))
-        shuffled = base.withColumn(c, moved).drop("_bucket")
+        shuffled = base.withColumn(c, moved_on(c, ring)).drop("_bucket")
         parts.append(positive(model, shuffled, "score").select(F.lit(c).alias("feature"), label, "score"))
     auc = mt.ranking_metrics(reduce(DataFrame.unionByName, parts), label, "score", by=("feature",))
     whole = auc.where("feature = '_none'").select("roc_auc").scalar()

@@ -12,7 +12,8 @@ from tidemark.operators.running import SLICE_ROWS, running_by_key
 from tidemark.params import DEFAULTS
 from tidemark.sources.events import CART, ORDER, SESSION
 
-MONEY = "decimal(18,2)"
+# Fine enough that amounts are summed as they are, not to the cent.
+MONEY = "decimal(28,8)"
 
 # Fixed value: message text around the cart value.
 MESSAGE = (
@@ -137,7 +138,8 @@ def session_counts(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Events per type and window; ``late`` sets a watermark for streams."""
-    source = events.withWatermark("ts", late) if late else events
+    # A watermark needs an instant; times without a zone are read in the session's.
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     return (
         source.groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count("*").alias("events"))

@@ -33,7 +33,7 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def duplicates(key: str) -> Column:
     """Rows beyond the first of each key; NULL counts as one key."""
-    keys = F.count_distinct(F.col(key)) + F.max(F.col(key).isNull().cast("int"))
+    keys = F.count_distinct(F.col(key)) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))
     return F.count("*") - keys
 
 
@@ -147,7 +147,7 @@ def constraint_tests(
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free checksum over all columns, as text: the sum outgrows 64 bits."""
-    total = F.sum(row_checksum(*[F.col(c) for c in df.columns]).cast("decimal(20,0)"))
+    total = F.sum(row_checksum(*[F.col(c) for c in df.columns]))
     return df.agg(
         F.count("*").alias("total_rows"),
         F.coalesce(total, F.lit(0)).cast("string").alias("checksum"),

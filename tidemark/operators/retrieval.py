@@ -154,23 +154,31 @@ def top_k(
     return _ranked(met.applyInPandas(meet, HIT_SCHEMA), k)
 
 
+def known_words(text: str) -> Column:
+    """The word set of a text; a NULL text has no words."""
+    return F.coalesce(word_set(F.col(text)), F.array().cast("array<string>"))
+
+
 def word_queries(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Queries with the words the corpus knows and a signature of what decides their ranking.
 
     A ranking depends only on those words and on the number of words, so the many
-    queries that differ in an unknown word alone share one signature.
+    queries that differ in an unknown word alone share one signature. Texts of one query id
+    are queries of their own.
     """
-    words = queries.select("query_id", word_set(F.col("text")).alias("words"))
+    words = queries.select("query_id", known_words("text").alias("words")).distinct()
     known = (
         words.select(F.explode("words").alias("word"))
         .distinct()
         .join(corpus.select(F.explode("items").alias("word")).distinct(), "word", "left_semi")
     )
-    exploded = words.select("query_id", F.explode("words").alias("word"))
-    kept = exploded.join(known, "word").groupBy("query_id").agg(
+    exploded = words.select("query_id", "words", F.explode("words").alias("word"))
+    kept = exploded.join(known, "word").groupBy("query_id", "words").agg(
         F.array_sort(F.collect_list("word")).alias("items")
     )
-    joined = words.join(kept, "query_id", "left").select(
+    kept = kept.select(F.col("query_id").alias("kept_id"), F.col("words").alias("kept_words"), "items")
+    same = F.col("query_id").eqNullSafe(F.col("kept_id")) & (F.col("words") == F.col("kept_words"))
+    joined = words.join(kept, same, "left").select(
         "query_id",
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.size("words").alias("size"),
@@ -179,21 +187,11 @@ def word_queries(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return joined.withColumn("query", F.sha2(name, 256))
 
 
-def _named_queries(queries: DataFrame, corpus: DataFrame, max_queries: int) -> DataFrame:
-    """(query_id, query, items, size); few queries are their own signature."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        return word_queries(queries, corpus)
-    words = queries.select("query_id", word_set(F.col("text")).alias("items"))
-    return words.withColumns(
-        {"query": F.col("query_id").cast("string"), "size": F.size("items")}
-    )
-
-
 def _signature_hits(
     queries: DataFrame, documents: DataFrame, k: int, max_queries: int
 ) -> tuple[DataFrame, DataFrame]:
-    corpus = documents.select("doc_id", word_set(F.col("text")).alias("items"))
-    named = _named_queries(queries, corpus, max_queries)
+    corpus = documents.select("doc_id", known_words("text").alias("items"))
+    named = word_queries(queries, corpus)
     distinct = named.groupBy("query").agg(
         F.any_value("items").alias("items"), F.any_value("size").alias("size")
     )

@@ -135,9 +135,12 @@ def order_points(
     limit: int = VALUE_LIMIT,
     as_type: str = "double",
 ) -> dict[str, tuple[int, dict[int, Point]]]:
-    """Row count and points at ``ranks(row count)`` for each column, NULLs left out."""
+    """Row count and points at ``ranks(row count)`` for each column, NULL and NaN left out."""
     names = list(columns)
-    values = df.select(*[columns[c].cast(as_type).alias(c) for c in names])
+    cast = {c: columns[c].cast(as_type) for c in names}
+    if as_type in ("double", "float"):
+        cast = {c: F.when(~F.isnan(v), v) for c, v in cast.items()}
+    values = df.select(*[v.alias(c) for c, v in cast.items()])
     stats = values.agg(
         *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(names)],
         *[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)],

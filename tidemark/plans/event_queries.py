@@ -27,7 +27,7 @@ cte(
   SELECT *, CAST(sum(CAST(event_type = 'cart_abandoned' AS BIGINT)) OVER w AS BIGINT) AS cart_abandoned_count,
     last_value(CASE WHEN event_type = 'cart_abandoned' THEN COALESCE(amount, 0) END IGNORE NULLS) OVER w AS last_cart_value,
     CAST(sum(CAST(event_type = 'order_completed' AS BIGINT)) OVER w AS BIGINT) AS order_count,
-    CAST(sum(CASE WHEN event_type = 'order_completed' THEN CAST(amount AS DECIMAL(18,2)) ELSE 0 END) OVER w AS DOUBLE) AS monetary,
+    CAST(sum(CASE WHEN event_type = 'order_completed' THEN CAST(amount AS DECIMAL(28,8)) ELSE 0 END) OVER w AS DOUBLE) AS monetary,
     CAST(sum(CAST(event_type = 'session_ended' AS BIGINT)) OVER w AS BIGINT) AS session_count
   FROM stream WINDOW w AS (PARTITION BY customer_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""",
 )

@@ -142,7 +142,7 @@ _MISSING = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in ft.FEATURE_COLUM
     sql(
         f"""WITH f AS (SELECT {_MISSING} AS missing, LEAST(avg(churn), 1 - avg(churn)) AS minority FROM training),
 d AS (SELECT list_max([{_PSIS}]) AS m),
-s AS (SELECT CAST(sum(CAST('0x' || substr(md5(concat_ws('|', customer_id, churn)), 1, 8) AS BIGINT)) AS BIGINT) AS c FROM training)
+s AS (SELECT CAST(sum(CAST('0x' || substr(md5(len(CAST(customer_id AS VARCHAR)) || ':' || customer_id || len(CAST(churn AS VARCHAR)) || ':' || churn), 1, 16) AS HUGEINT)) AS VARCHAR) AS c FROM training)
 SELECT 'data_quality' AS "check", 'pass' AS status, 'missing ' || missing || ', duplicates 0' AS detail FROM f
 UNION ALL SELECT 'class_balance', CASE WHEN minority > 0.05 THEN 'pass' ELSE 'warn' END, 'minority rate ' || CAST(CAST(round(minority, 4) AS DECIMAL(20,4)) AS VARCHAR) FROM f
 UNION ALL SELECT 'leakage', 'pass', 'removed churn, customer_id, recency_churn'
@@ -207,15 +207,15 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("model_importance")
 def _model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training(spark, sf_dir)
-    model = learning.fit_pipeline(rows, "random_forest", QUICK["random_forest"])
+    model = learning.fit_pipeline(rows, "random_forest")
     return learning.model_importance(model, rows)
 
 
 @query("permutation_importance")
 def _permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training(spark, sf_dir)
-    model = learning.fit_pipeline(rows, "logistic", QUICK["logistic"])
-    return learning.permutation_importance(model, rows, ["recency_days", "age", "country"])
+    model = learning.fit_pipeline(rows, "logistic")
+    return learning.permutation_importance(model, rows, pp.feature_columns(rows, "churn"))
 
 
 # ---------- cart propensity and discount sensitivity ----------

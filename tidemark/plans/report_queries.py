@@ -121,13 +121,19 @@ def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "table_fingerprint",
-    """SELECT count(*) AS total_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', COALESCE(CAST(o_orderkey AS VARCHAR), '~'),
-  COALESCE(CAST(o_custkey AS VARCHAR), '~'), COALESCE(o_orderstatus, '~'), COALESCE(o_orderpriority, '~'))), 1, 8) AS BIGINT)) AS VARCHAR) AS checksum
+    """SELECT count(*) AS total_rows, CAST(sum(CAST('0x' || substr(md5(COALESCE(len(CAST(o_orderkey AS VARCHAR)) || ':' || CAST(o_orderkey AS VARCHAR), '~') || COALESCE(len(CAST(o_custkey AS VARCHAR)) || ':' || CAST(o_custkey AS VARCHAR), '~') || COALESCE(len(o_orderstatus) || ':' || o_orderstatus, '~')
+  || COALESCE(len(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)) || ':' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '~') || COALESCE(len(CAST(epoch_us(o_orderdate) AS VARCHAR)) || ':' || CAST(epoch_us(o_orderdate) AS VARCHAR), '~') || COALESCE(len(o_orderpriority) || ':' || o_orderpriority, '~')), 1, 16) AS HUGEINT)) AS VARCHAR) AS checksum
 FROM orders""",
 )
 def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return quality.table_fingerprint(table(spark, sf_dir, "orders").select(*cols))
+    """All columns; money and time as text that every engine writes alike."""
+    rows = table(spark, sf_dir, "orders").withColumns(
+        {
+            "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"),
+            "o_orderdate": F.unix_micros(F.col("o_orderdate").cast("timestamp")),
+        }
+    )
+    return quality.table_fingerprint(rows)
 
 
 # ---------- scores ----------

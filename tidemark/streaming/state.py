@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.events import CART, ORDER, SESSION
 
-STATE_SCHEMA = "carts bigint, cart_value double, orders bigint, cents bigint, sessions bigint, cart_at bigint, cart_id bigint"
+# Money is kept in whole hundred-millionths.
+UNITS = 100_000_000
+STATE_SCHEMA = "carts bigint, cart_value double, orders bigint, units bigint, sessions bigint, cart_at bigint, cart_id bigint"
 OUTPUT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, customer_id bigint, event_type string, amount double, "
     "cart_abandoned_count bigint, last_cart_value double, order_count bigint, "
@@ -35,7 +37,7 @@ class CustomerState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
         stored = self.state.get() if self.state.exists() else EMPTY
-        carts, value, orders, cents, sessions, cart_at, cart_id = stored
+        carts, value, orders, units, sessions, cart_at, cart_id = stored
         history = []
         for event_id, ts, kind, amount in zip(
             batch["event_id"], batch["ts"], batch["event_type"], batch["amount"], strict=True
@@ -48,11 +50,11 @@ class CustomerState(StatefulProcessor):
                     value, (cart_at, cart_id) = amount, at
             elif kind == ORDER:
                 orders += 1
-                cents += round(amount * 100)
+                units += round(amount * UNITS)
             elif kind == SESSION:
                 sessions += 1
-            history.append((carts, value, orders, cents / 100.0, sessions))
-        self.state.update((carts, value, orders, cents, sessions, cart_at, cart_id))
+            history.append((carts, value, orders, units / UNITS, sessions))
+        self.state.update((carts, value, orders, units, sessions, cart_at, cart_id))
         out = batch[["event_id", "ts"]].assign(
             customer_id=key[0], event_type=batch["event_type"], amount=batch["amount"]
         )
