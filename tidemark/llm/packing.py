@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import byte_slices, ragged_ranges, text_buffer
+from tidemark.llm.columns import SLICE_BYTES, byte_slices, ragged_ranges, text_buffer
 
 PIECES = "piece_start bigint, piece_length bigint, ids binary, doc_tokens bigint, sequence_id bigint, sequence_offset bigint"
 
@@ -20,7 +20,7 @@ PIECES = "piece_start bigint, piece_length bigint, ids binary, doc_tokens bigint
 _PER_TASK = 1 << 33
 
 # Different pieces of text whose ids a task remembers.
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 1_000_000
 
 _TOKENIZERS: dict = {}
 
@@ -105,7 +105,7 @@ def pack_documents(docs: DataFrame, keys: list[str], text: str, tokenizer_path:
     def run(batches):
         tokenizer, known = load_tokenizer(tokenizer_path), {}
         number = TaskContext.get().partitionId() * _PER_TASK
-        for batch in byte_slices(batches, "_text"):
+        for batch in byte_slices(batches, "_text", 4 * SLICE_BYTES):
             tokens, at = encode_texts(batch.column("_text"), tokenizer, known)
             sizes = np.diff(at) + 1
             ends = np.cumsum(sizes)
