@@ -64,7 +64,8 @@ def _preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir)
 
 
-WEIGHTS = {"x_age": 0.4, "x_recency_days": 1.1, "x_tenure_days": -0.7, "x_country": 0.02}
+# One weight per input of the model, of both signs and different sizes: the query states contributions, not a fit.
+WEIGHTS = {f"x_{c}": (0.1 + 0.05 * i) * (-1) ** i for i, c in enumerate(NUMERIC + CATEGORICAL)}
 _IMPORTANCE = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(avg(abs({w}::DOUBLE * ({c} - m_{c}))), 7) AS mean_abs_contribution FROM p, m"
     for c, w in WEIGHTS.items()
@@ -169,13 +170,6 @@ def _guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------- fitted models: no plain SQL states these ----------
 
-QUICK = {
-    "logistic": {"maxIter": 30},
-    "gbt": {"maxIter": 5, "maxDepth": 3, "seed": 42},
-    "random_forest": {"numTrees": 10, "maxDepth": 5, "seed": 42},
-}
-
-
 @query("score_customers")
 def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splits.stratified_split(training(spark, sf_dir), "churn", "customer_id")
@@ -185,12 +179,12 @@ def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("out_of_fold")
 def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.out_of_fold(training(spark, sf_dir), ["logistic"], QUICK, folds=3)
+    return learning.out_of_fold(training(spark, sf_dir), list(learning.LEARNERS))
 
 
 @query("model_comparison")
 def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.train_ensemble(training(spark, sf_dir), params=QUICK, folds=2).comparison
+    return learning.train_ensemble(training(spark, sf_dir)).comparison
 
 
 @query("hyperparameter_sweep")
