@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +123,18 @@ def test_repeated_shingles_are_told_apart():
     words = np.tile(np.arange(1, 6, dtype=np.uint64), 6)
     hashes, offsets = order_minhash.labelled_shingles(words, np.array([0, len(words)]))
     assert len(np.unique(hashes)) == len(hashes) == offsets[-1] == 26
+    once, _ = order_minhash.labelled_shingles(words[:9], np.array([0, 9]))
+    assert (once == hashes[:5]).all()
+
+
+def test_shared_words_are_never_undercounted():
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 60, rng.integers(1, 90))) for _ in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], ["row", "text"])
+    out = next(order_minhash._marks([batch]))
+    marks = [np.frombuffer(m, np.uint16) for m in out.column("marks").to_pylist()]
+    offsets = np.cumsum([0, *map(len, marks)])
+    for i in range(30):
+        bound = order_minhash._shared_marks(np.concatenate(marks), offsets, i, np.arange(30))
+        exact = [sum((Counter(texts[i].split()) & Counter(t.split())).values()) for t in texts]
+        assert (bound >= exact).all() and (bound <= np.array(exact) + 2).all()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.alignment import within
-from tidemark.llm.columns import byte_slices, fresh_names, hashed_words, mix, shingle_hashes, text_buffer
+from tidemark.llm.columns import byte_slices, fresh_names, hashed_words, mix, ragged_ranges, shingle_hashes, text_buffer
 from tidemark.llm.components import components
 from tidemark.session import settle
 
@@ -51,6 +51,8 @@ def labelled_shingles(words: np.ndarray, rows: np.ndarray, size: int = SHINGLE)
         new = np.concatenate([[True], key[seen[1:]] != key[seen[:-1]]])
         start = np.flatnonzero(new)
         number = np.arange(len(seen)) - start[np.cumsum(new) - 1]
+        # The first copy keeps its hash, so that it equals that of a text with one.
+        seen, number = seen[number > 0], number[number > 0]
         hashes[seen] = mix(hashes[seen] + number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     return hashes, offsets
 
@@ -141,23 +143,51 @@ def _counts(column) -> np.ndarray:
     return data.reshape(-1, COUNTS).astype(np.int16)
 
 
+def _marks(batches):
+    """Sixteen bits of the hash of each word of a text, told apart from its earlier copies there."""
+    for batch in byte_slices(batches, "text"):
+        hashes, offsets = labelled_shingles(*hashed_words(batch.column("text")), 1)
+        marks = (hashes >> np.uint64(48)).astype(np.uint16)
+        own = [marks[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(own, pa.binary())], ["cid", "marks"])
+
+
+def _shared_marks(marks: np.ndarray, offsets: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """At least the number of words that text ``i`` shares with each of ``others``, which have words."""
+    known = np.zeros(1 << 16, bool)
+    known[marks[offsets[i] : offsets[i + 1]]] = True
+    sizes = offsets[others + 1] - offsets[others]
+    hits = known[marks[ragged_ranges(offsets[others], sizes)]]
+    return np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def _tile_pairs(similarity: float):
-    """Pairs of a tile's left and right members (or of left ones, where there is no right) in different components."""
+    """Pairs of a tile's left and right members (or of left ones, where there is no right) in different components.
+
+    A pair is given by the first of its common buckets only, and only where the words that both have leave room for
+    the similarity.
+    """
 
     def pairs(batch: pa.RecordBatch):
         left = batch.column("left").to_numpy(zero_copy_only=False)
+        repeat = batch.column("repeat")[0].as_py()
         cid, component, n = (batch.column(c).to_numpy() for c in ("cid", "component", "n_words"))
         counts = _counts(batch.column("counts"))
+        keys = batch.column("keys").flatten().to_numpy().reshape(-1, REPEATS)
+        data, ends = text_buffer(batch.column("marks"))
+        marks, offsets = data.view(np.uint16), ends // 2
         one = np.flatnonzero(left)
         two = np.flatnonzero(~left) if not left.all() else one
         out = []
         for i in one:
             j = two[two > i] if two is one else two
             j = j[component[j] != component[i]]
-            if not len(j):
-                continue
+            j = j[(keys[j, :repeat] != keys[i, :repeat]).all(axis=1)]
             limit = _limit(np.maximum(n[i], n[j]), similarity)
-            j = j[(np.abs(n[i] - n[j]) <= limit) & (np.abs(counts[j] - counts[i]).sum(axis=1) <= 2 * limit)]
+            keep = (np.abs(n[i] - n[j]) <= limit) & (np.abs(counts[j] - counts[i]).sum(axis=1) <= 2 * limit)
+            j, limit = j[keep], limit[keep]
+            if len(j):
+                j = j[np.maximum(n[i], n[j]) - _shared_marks(marks, offsets, i, j) <= limit]
             out += [(min(cid[i], c), max(cid[i], c)) for c in cid[j]]
         return out
 
@@ -202,8 +232,8 @@ def near_documents(docs: DataFrame, key: str, text: str, similarity: float = 0.8
 
     Equal texts are one class from the start. Each class is first compared with one other, the least of most of its
     buckets; only where verified links leave a bucket in several components are all its members compared across these, by
-    word counts in tiles, and what they leave is verified too. So a group of any size costs a pair per member, and no
-    pair of different texts is lost that is not connected already.
+    the words they share in tiles, and what they leave is verified too. So a group of any size costs a pair per member,
+    and no pair of different texts is lost that is not connected already.
     """
     row, = fresh_names(docs.columns, "row")
     work = settle(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
@@ -257,18 +287,20 @@ def _links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     mixed = settle(
         split.groupBy("repeat", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("repeat", "key"), "mixed-buckets"
     )
-    split = split.join(mixed, ["repeat", "key"], "left_semi")
-    split = split.join(slim.select("cid", "counts"), "cid")
+    split = settle(split.join(mixed, ["repeat", "key"], "left_semi"), "mixed-members")
+    marked = texts.join(split.select(F.col("cid").alias("row")).distinct().hint("merge"), "row", "left_semi")
+    marked = marked.mapInArrow(_marks, "cid bigint, marks binary")
+    split = split.join(marked.join(classes.select("cid", "counts", "keys").hint("merge"), "cid").hint("merge"), "cid")
     # A bucket of n members has ceil(n / TILE) blocks, and a tile for each pair of them: the smaller number is left.
     blocks = split.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("bigint"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tiles = blocks.select(
         "repeat", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-        (F.col("own") <= F.col("other")).alias("left"), "cid", "component", "n_words", "counts",
+        (F.col("own") <= F.col("other")).alias("left"), "cid", "component", "n_words", "counts", "keys", "marks",
     )
     tile = ["repeat", "key", "one", "two"]
     tiles = tiles.repartition(*tile).sortWithinPartitions(*tile)
-    more = tiles.mapInArrow(_tile_pairs(similarity), "a bigint, b bigint").distinct()
+    more = tiles.mapInArrow(_tile_pairs(similarity), "a bigint, b bigint")
     more = settle(more.join(close, ["a", "b"], "left_anti"), "tile-pairs")
     return first.unionByName(_verified(more, texts, similarity))
 
