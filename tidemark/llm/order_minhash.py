@@ -20,6 +20,8 @@ REPEATS = 32
 COUNTS = 256
 # Members of one side of a tile of a large bucket.
 TILE = 512
+# Pairs of a tile aligned together, before those go that their links have connected.
+ALIGNED = 256
 
 _SEEDS = np.random.default_rng(0x0D3).integers(1, 2**62, (REPEATS, 2), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(2**64 - 1)
@@ -143,13 +145,9 @@ def _counts(column) -> np.ndarray:
     return data.reshape(-1, COUNTS).astype(np.int16)
 
 
-def _marks(batches):
-    """Sixteen bits of the hash of each word of a text, told apart from its earlier copies there."""
-    for batch in byte_slices(batches, "text"):
-        hashes, offsets = labelled_shingles(*hashed_words(batch.column("text")), 1)
-        marks = (hashes >> np.uint64(48)).astype(np.uint16)
-        own = [marks[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(own, pa.binary())], ["cid", "marks"])
+def _marks(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sixteen bits of the hash of each word, told apart from its earlier copies in the text."""
+    return (labelled_shingles(words, rows, 1)[0] >> np.uint64(48)).astype(np.uint16)
 
 
 def _shared_marks(marks: np.ndarray, offsets: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -161,24 +159,26 @@ def _shared_marks(marks: np.ndarray, offsets: np.ndarray, i: int, others: np.nda
     return np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def _tile_pairs(similarity: float):
-    """Pairs of a tile's left and right members (or of left ones, where there is no right) in different components.
+def _tile_links(similarity: float):
+    """Verified pairs that connect what is similar among a tile's left and right members (or left ones, alone).
 
-    A pair is given by the first of its common buckets only, and only where the words that both have leave room for
-    the similarity.
+    Only members of different components are compared, a pair in the first of its common buckets only, and where the
+    words that both have leave room for the similarity. Links join components at once, so a tile gives fewer links
+    than it has members, and the likeliest pairs are aligned first.
     """
 
-    def pairs(batch: pa.RecordBatch):
+    def links(batch: pa.RecordBatch):
         left = batch.column("left").to_numpy(zero_copy_only=False)
         repeat = batch.column("repeat")[0].as_py()
-        cid, component, n = (batch.column(c).to_numpy() for c in ("cid", "component", "n_words"))
-        counts = _counts(batch.column("counts"))
+        cid = batch.column("cid").to_numpy()
+        component = np.unique(batch.column("component").to_numpy(), return_inverse=True)[1]
         keys = batch.column("keys").flatten().to_numpy().reshape(-1, REPEATS)
-        data, ends = text_buffer(batch.column("marks"))
-        marks, offsets = data.view(np.uint16), ends // 2
+        words, rows = hashed_words(batch.column("text"))
+        n, marks = np.diff(rows), _marks(words, rows)
+        counts = word_counts(words, rows).astype(np.int16)
         one = np.flatnonzero(left)
         two = np.flatnonzero(~left) if not left.all() else one
-        out = []
+        found = [np.zeros((3, 0), np.int64)]
         for i in one:
             j = two[two > i] if two is one else two
             j = j[component[j] != component[i]]
@@ -187,8 +187,25 @@ def _tile_pairs(similarity: float):
             keep = (np.abs(n[i] - n[j]) <= limit) & (np.abs(counts[j] - counts[i]).sum(axis=1) <= 2 * limit)
             j, limit = j[keep], limit[keep]
             if len(j):
-                j = j[np.maximum(n[i], n[j]) - _shared_marks(marks, offsets, i, j) <= limit]
-            out += [(min(cid[i], c), max(cid[i], c)) for c in cid[j]]
+                room = _shared_marks(marks, rows, i, j) - np.maximum(n[i], n[j]) + limit
+                found.append(np.stack([np.full(len(j), i), j, room])[:, room >= 0])
+        left, right, room = np.concatenate(found, axis=1)
+        order = np.argsort(-room, kind="stable")
+        left, right = left[order], right[order]
+        out = []
+        while len(left):
+            # The likeliest pairs, one for two components.
+            ends = np.sort([component[left], component[right]], axis=0)
+            some = np.sort(np.unique(ends[0] * len(n) + ends[1], return_index=True)[1])[:ALIGNED]
+            pairs = [(words[rows[i] : rows[i + 1]], words[rows[j] : rows[j + 1]]) for i, j in zip(left[some], right[some], strict=True)]
+            close = some[within(pairs, _limit(np.maximum(n[left[some]], n[right[some]]), similarity))]
+            for i, j in zip(left[close], right[close], strict=True):
+                if component[i] != component[j]:
+                    out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+                    component[component == component[j]] = component[i]
+            rest = component[left] != component[right]
+            rest[some] = False
+            left, right = left[rest], right[rest]
         return out
 
     def run(batches):
@@ -202,11 +219,11 @@ def _tile_pairs(similarity: float):
             for k in keys:
                 new[1:] |= k[1:] != k[:-1]
             heads = np.flatnonzero(new)
-            found = [p for a, b in zip(heads[:-1], heads[1:], strict=True) for p in pairs(batch.slice(a, b - a))]
+            found = [p for a, b in zip(heads[:-1], heads[1:], strict=True) for p in links(batch.slice(a, b - a))]
             held = batch.slice(heads[-1])
             yield _pair_batch(found)
         if held is not None and held.num_rows:
-            yield _pair_batch(pairs(held))
+            yield _pair_batch(links(held))
 
     return run
 
@@ -231,8 +248,8 @@ def near_documents(docs: DataFrame, key: str, text: str, similarity: float = 0.8
     repeat, and an empty table gives empty results.
 
     Equal texts are one class from the start. Each class is first compared with one other, the least of most of its
-    buckets; only where verified links leave a bucket in several components are all its members compared across these, by
-    the words they share in tiles, and what they leave is verified too. So a group of any size costs a pair per member,
+    buckets; only where verified links leave a bucket in several components are all its members compared across these,
+    in tiles that hold their texts: pairs with too few words in common go, others are aligned. So a group of any size costs a pair per member,
     and no pair of different texts is lost that is not connected already.
     """
     row, = fresh_names(docs.columns, "row")
@@ -246,7 +263,7 @@ def near_documents(docs: DataFrame, key: str, text: str, similarity: float = 0.8
         ),
         "text-classes",
     )
-    links = settle(_links(classes, picked, similarity), "document-links")
+    links = _links(classes, picked, similarity)
     reached = components(links, "a", "b").select(F.col("id").alias("cid"), "component")
     named = settle(
         classes.select("same", "cid").join(reached, "cid", "left").select("same", F.coalesce("component", "cid").alias("component")), "class-components"
@@ -273,6 +290,8 @@ def _links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         keyed.groupBy("repeat", "key").agg(F.min("cid").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets"
     )
     members = settle(keyed.join(shared, ["repeat", "key"]).select("repeat", "key", "anchor", "n", "cid", "n_words"), "bucket-members")
+    # All texts move once; what follows reads those of bucket members only.
+    texts = settle(texts.join(members.select(F.col("cid").alias("row")).distinct().hint("merge"), "row", "left_semi"), "member-texts")
 
     # One pair for each class: with the least class of most of its buckets.
     stars = members.where("cid <> anchor").groupBy("cid").agg(F.mode("anchor", True).alias("a")).select("a", F.col("cid").alias("b"))
@@ -288,28 +307,25 @@ def _links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         split.groupBy("repeat", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("repeat", "key"), "mixed-buckets"
     )
     split = settle(split.join(mixed, ["repeat", "key"], "left_semi"), "mixed-members")
-    marked = texts.join(split.select(F.col("cid").alias("row")).distinct().hint("merge"), "row", "left_semi")
-    marked = marked.mapInArrow(_marks, "cid bigint, marks binary")
-    split = split.join(marked.join(classes.select("cid", "counts", "keys").hint("merge"), "cid").hint("merge"), "cid")
+    held = texts.withColumnRenamed("row", "cid").join(split.select("cid").distinct().hint("merge"), "cid", "left_semi")
+    held = held.join(classes.select("cid", "keys").hint("merge"), "cid")
+    split = split.join(held.hint("merge"), "cid")
     # A bucket of n members has ceil(n / TILE) blocks, and a tile for each pair of them: the smaller number is left.
     blocks = split.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("bigint"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tiles = blocks.select(
         "repeat", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-        (F.col("own") <= F.col("other")).alias("left"), "cid", "component", "n_words", "counts", "keys", "marks",
+        (F.col("own") <= F.col("other")).alias("left"), "cid", "component", "keys", "text",
     )
     tile = ["repeat", "key", "one", "two"]
     tiles = tiles.repartition(*tile).sortWithinPartitions(*tile)
-    more = tiles.mapInArrow(_tile_pairs(similarity), "a bigint, b bigint")
-    more = settle(more.join(close, ["a", "b"], "left_anti"), "tile-pairs")
-    return first.unionByName(_verified(more, texts, similarity))
+    more = settle(tiles.mapInArrow(_tile_links(similarity), "a bigint, b bigint"), "tile-links")
+    return first.unionByName(more)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     # Sorted joins at every size: what they move then grows with the input, and Spark splits a hot class.
-    texts = settle(texts.join(needed.hint("merge"), "row", "left_semi"), "pair-texts")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a bigint, b bigint")
