@@ -94,6 +94,32 @@ def test_literals(text, found):
     assert [text[a:b] for k, a, b in scan_text(text) if k == "literal"] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", ["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"]),
+        ("db_pwd=Xk39dkfj38dk", ["Xk39dkfj38dk"]),
+        ("private_key: q8Zk3mVt92Lp", ["q8Zk3mVt92Lp"]),
+        ("run it with password=Ab3dE9xQ, then wait", ["Ab3dE9xQ"]),
+        ("x = 1\n  export DB_PWD=open_sesame_now # local\ny", ["open_sesame_now"]),
+        ("env:\n  - passphrase: open_sesame_now\r\n", ["open_sesame_now"]),
+        ("call(password=open_sesame_now, user=me)", []),
+        ("password = read_password()", []),
+        ("token = nextToken2(x)", []),
+        (f"{'x' * 80}_password=Xk39dkfj38dk", ["Xk39dkfj38dk"]),
+        (f'{{"password_{"x" * 80}": "Xk39dkfj38dk"}}', ["Xk39dkfj38dk"]),
+        ("key = 'AbC123xyz987QQ'\nauth_token = key", ["AbC123xyz987QQ"]),
+    ],
+)
+def test_bare_literals_and_long_names(text, found):
+    assert [text[a:b] for k, a, b in scan_text(text) if k == "literal"] == found
+
+
+def test_long_runs_are_read_once():
+    text = "password " + "a." * 200_000 + " " * 100_000 + "\n" + "token=x " * 20_000 + '"' * 50_000
+    assert scan_text(text) == []
+
+
 def test_names():
     assert name_score("userPassword") == name_score("API_KEY") == name_score("aws.secretKey") == 1.0
     assert name_score("tokenizer") == name_score("keyboard") == 0.0

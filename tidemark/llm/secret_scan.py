@@ -37,11 +37,17 @@ HINTS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api", "c
 THRESHOLD = 0.5
 
 # Name, assignment sign and value in the syntaxes of code, JSON, YAML, INI, shell and XML attributes.
+# A run of name characters is read once, from its start, however long it is.
 _PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})(?P=quote)\x20*(?:=>|:=|=(?!=)|:(?!:))\x20*"""
+    r"""(?:(?P<quote>["'])|(?<![A-Za-z0-9_.\-]))[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?(quote)(?P=quote))"""
+    r"""\x20*(?:=>|:=|=(?!=)|:(?!:))\x20*"""
     r"""(?:(?P<mark>["'`])(?P<literal>(?:\\.|(?!(?P=mark))[^\\\n])*)(?P=mark)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))"""
 )
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+# What may stand before, between and after name and value on a line of configuration: KEY=value or key: value.
+_LINE_LEADS = ("export", "set", "setx", "ENV", "ARG", "-")
+_LINE_SIGN = re.compile(r"=|:\x20+")
+_LINE_END = re.compile(r"[\x20\t]*+(?:[#;][^\n]*+)?\r?(?:\n|\Z)")
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -64,11 +70,38 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 3.0) * min(1.0, 0.4 + 0.2 * kinds)
 
 
+def _starts_line(text: str, at: int) -> bool:
+    """Whether only blanks, and perhaps one word that leads in a setting, stand before ``at`` on its line."""
+    for lead in (True, False):
+        while at and text[at - 1] in " \t":
+            at -= 1
+        if at == 0 or text[at - 1] == "\n":
+            return True
+        word = next((w for w in _LINE_LEADS if lead and text.endswith(w, 0, at)), "")
+        at -= len(word)
+        if not word:
+            break
+    return False
+
+
+def _is_literal(text: str, found: re.Match, start: int, stop: int) -> bool:
+    """Whether a bare value that could be a name, but is none that is known, is taken for a literal.
+
+    It is when it holds a digit or both cases and is not called or indexed, or when its pair is a line of configuration.
+    """
+    value = text[start:stop]
+    if text[stop : stop + 1] not in ("(", "[") and (any(c.isdigit() for c in value) or value not in (value.lower(), value.upper())):
+        return True
+    sign = text[found.end("name") + bool(found["quote"]) : start]
+    return bool(_LINE_SIGN.fullmatch(sign) and _LINE_END.match(text, stop)) and _starts_line(text, found.start())
+
+
 def name_literal_pairs(text: str) -> list[tuple[str, int, int]]:
     """``(name, start, stop)`` of every assignment of a literal in ``text``, constants propagated.
 
     A bare value that is the name of an earlier literal stands for it: the target name is paired with that literal's
-    own place, over any chain of names.
+    own place, over any chain of names. Another bare value that could be a name is a literal when it looks like one or
+    its line is one of configuration, and else a reference to what the text does not hold.
     """
     pairs: list[tuple[str, int, int]] = []
     constants: dict[str, tuple[int, int]] = {}
@@ -82,7 +115,9 @@ def name_literal_pairs(text: str) -> list[tuple[str, int, int]]:
             start, stop = found.span("bare")
             bare = found["bare"].rstrip(".,")
             stop = start + len(bare)
-            place = constants.get(bare) if _IDENTIFIER.fullmatch(bare) else (start, stop)
+            place = constants.get(bare)
+            if place is None and (not _IDENTIFIER.fullmatch(bare) or _is_literal(text, found, start, stop)):
+                place = (start, stop)
             # What follows a colon may itself be a pair, as in "config: key=value".
             at = start if re.search("[=:]", bare) and not place == constants.get(bare) else max(found.start() + 1, stop)
             if place is None:
