@@ -80,6 +80,22 @@ def test_groups_match_all_pairs(spark, corpus, monkeypatch):
     assert rows.count() == len(corpus)
 
 
+def test_isolated_borderline_pairs_are_found(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        n = (5, 10, 20, 40, 100)[i % 5]
+        one = [f"w{i}x{k}" for k in range(n)]
+        two = list(one)
+        for k in rng.sample(range(n), n // 5):
+            two[k] = f"v{i}x{k}"
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    _, groups = near_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    classes = {r["doc_id"]: r["class_id"] for r in groups.collect()}
+    assert all(c in (d, d - d % 2) for d, c in classes.items())
+    assert sum(classes[2 * i + 1] == 2 * i for i in range(400)) >= 398
+
+
 def test_edges(spark):
     frame = documents(spark)
     kept = keep_first(frame, "doc_id", "text")

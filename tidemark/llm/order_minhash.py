@@ -15,13 +15,19 @@ from tidemark.llm.components import components
 from tidemark.session import settle
 
 SHINGLE = 5
+# Words of the shingles that are sketched: of longer ones, pairs at a similarity of 0.8 share too few.
+SKETCHED = 2
 REPEATS = 32
+# Stands before and after the words of a text.
+EDGE = np.uint64(0x9E3779B97F4A7C15)
 # Buckets of the word counts that bound a distance from below.
 COUNTS = 256
 # Members of one side of a tile of a large bucket.
 TILE = 512
 # Pairs of a tile aligned together, before those go that their links have connected.
 ALIGNED = 256
+# Rows found in tiles that are given at once.
+HELD = 10_000
 
 _SEEDS = np.random.default_rng(0x0D3).integers(1, 2**62, (REPEATS, 2), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(2**64 - 1)
@@ -59,6 +65,11 @@ def labelled_shingles(words: np.ndarray, rows: np.ndarray, size: int = SHINGLE)
     return hashes, offsets
 
 
+def edged(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with EDGE before and after each, so that an edit changes as much of a short text wherever it falls."""
+    return np.insert(words, np.repeat(rows, 2)[1:-1], EDGE), rows + 2 * np.arange(len(rows))
+
+
 def order_sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """REPEATS keys per text: each of its two least labelled shingles under one hash order, told apart by text order."""
     filled = np.flatnonzero(np.diff(offsets))
@@ -93,8 +104,7 @@ def word_counts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def _sketch(batches):
     for batch in byte_slices(batches, "text"):
         words, rows = hashed_words(batch.column("text"))
-        hashes, offsets = labelled_shingles(words, rows)
-        keys = order_sketches(hashes, offsets)
+        keys = order_sketches(*labelled_shingles(*edged(words, rows), SKETCHED))
         counts = word_counts(words, rows)
         data, at = text_buffer(batch.column("text"))
         # Equal texts are one class; texts with words are equal when their words are.
@@ -209,21 +219,64 @@ def _tile_links(similarity: float):
         return out
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            keys = [batch.column(k).to_numpy() for k in ("repeat", "key", "one", "two")]
-            new = np.zeros(batch.num_rows, bool)
-            new[0] = True
-            for k in keys:
-                new[1:] |= k[1:] != k[:-1]
-            heads = np.flatnonzero(new)
-            found = [p for a, b in zip(heads[:-1], heads[1:], strict=True) for p in links(batch.slice(a, b - a))]
-            held = batch.slice(heads[-1])
-            yield _pair_batch(found)
-        if held is not None and held.num_rows:
-            yield _pair_batch(links(held))
+        found = []
+        for tile in _by_tile(batches):
+            found += links(tile)
+            if len(found) >= HELD:
+                yield _pair_batch(found)
+                found = []
+        yield _pair_batch(found)
+
+    return run
+
+
+def _by_tile(batches):
+    """Slices of the sorted ``batches``, one for each tile."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for k in ("repeat", "key", "one", "two"):
+            x = batch.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        heads = np.flatnonzero(new)
+        if not len(heads):
+            continue
+        yield from (batch.slice(a, b - a) for a, b in zip(heads[:-1], heads[1:], strict=True))
+        held = batch.slice(heads[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _tile_members(similarity: float):
+    """Rows of tiles, without counts, that lengths and word counts let be similar to one of another component there."""
+
+    def run(batches):
+        held, rows = [], 0
+        for tile in _by_tile(batches):
+            left = tile.column("left").to_numpy(zero_copy_only=False)
+            component, n, counts = tile.column("component").to_numpy(), tile.column("n_words").to_numpy(), _counts(tile.column("counts"))
+            one = np.flatnonzero(left)
+            two = np.flatnonzero(~left) if not left.all() else one
+            keep = np.zeros(tile.num_rows, bool)
+            for i in one:
+                j = two[two > i] if two is one else two
+                limit = _limit(np.maximum(n[i], n[j]), similarity)
+                near = (component[j] != component[i]) & (np.abs(n[i] - n[j]) <= limit)
+                j, limit = j[near], limit[near]
+                j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= 2 * limit]
+                keep[j] = True
+                keep[i] |= len(j) > 0
+            if keep.any():
+                held.append(tile.select(["repeat", "key", "one", "two", "left", "cid", "component"]).filter(pa.array(keep)))
+                rows += held[-1].num_rows
+            if rows >= HELD:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return run
 
@@ -242,15 +295,17 @@ def near_documents(docs: DataFrame, key: str, text: str, similarity: float = 0.8
 
     Texts are words, runs of ASCII letters (folded) and digits and of other non-ASCII characters. Two texts are linked
     when their edit distance in words is at most ``1 - similarity`` of the longer one's words and when they share a
-    bucket: under one of REPEATS hash orders the same two least shingles of five words, each told apart from its earlier
-    copies in the text, in the same text order. Groups are what links connect. Texts with equal words are always
+    bucket: under one of REPEATS hash orders the same two least shingles of two words (or a word and an edge of the
+    text), each told apart from its earlier copies in the text, in the same text order. Buckets are drawn by hash: an
+    isolated pair that shares none stays apart, which becomes likely only well below a similarity of 0.8 (the README has
+    figures). Groups are what links connect. Texts with equal words are always
     linked; texts without words (null ones count as empty) only when they are equal. Any columns may be null, rows may
     repeat, and an empty table gives empty results.
 
     Equal texts are one class from the start. Each class is first compared with one other, the least of most of its
     buckets; only where verified links leave a bucket in several components are all its members compared across these,
     in tiles that hold their texts: pairs with too few words in common go, others are aligned. So a group of any size costs a pair per member,
-    and no pair of different texts is lost that is not connected already.
+    and no pair of different texts that share a bucket is lost that is not connected already.
     """
     row, = fresh_names(docs.columns, "row")
     work = settle(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
@@ -307,18 +362,21 @@ def _links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         split.groupBy("repeat", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("repeat", "key"), "mixed-buckets"
     )
     split = settle(split.join(mixed, ["repeat", "key"], "left_semi"), "mixed-members")
-    held = texts.withColumnRenamed("row", "cid").join(split.select("cid").distinct().hint("merge"), "cid", "left_semi")
-    held = held.join(classes.select("cid", "keys").hint("merge"), "cid")
-    split = split.join(held.hint("merge"), "cid")
     # A bucket of n members has ceil(n / TILE) blocks, and a tile for each pair of them: the smaller number is left.
     blocks = split.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("bigint"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    tile = ["repeat", "key", "one", "two"]
     tiles = blocks.select(
         "repeat", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-        (F.col("own") <= F.col("other")).alias("left"), "cid", "component", "keys", "text",
+        (F.col("own") <= F.col("other")).alias("left"), "cid", "component", "n_words",
     )
-    tile = ["repeat", "key", "one", "two"]
-    tiles = tiles.repartition(*tile).sortWithinPartitions(*tile)
+    # Texts join only the members that word counts do not rule out.
+    tiles = tiles.join(slim.select("cid", "counts").hint("merge"), "cid").repartition(*tile).sortWithinPartitions(*tile)
+    schema = "repeat int, key bigint, one bigint, two bigint, left boolean, cid bigint, component bigint"
+    tiles = settle(tiles.select(*tile, "left", "cid", "component", "n_words", "counts").mapInArrow(_tile_members(similarity), schema), "tile-members")
+    held = texts.withColumnRenamed("row", "cid").join(tiles.select("cid").distinct().hint("merge"), "cid", "left_semi")
+    held = held.join(classes.select("cid", "keys").hint("merge"), "cid")
+    tiles = tiles.join(held.hint("merge"), "cid").repartition(*tile).sortWithinPartitions(*tile)
     more = settle(tiles.mapInArrow(_tile_links(similarity), "a bigint, b bigint"), "tile-links")
     return first.unionByName(more)
 
