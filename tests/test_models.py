@@ -221,3 +221,17 @@ def test_segments(spark):
     assert dormant == {r[0] for r in df.where("total_orders = 0").select("customer_id").collect()}
     few = segments.fit_segmentation(df.where("total_orders = 0"))
     assert few.select("segment").distinct().collect()[0][0] == segments.DORMANT
+
+
+def test_the_sweep_and_restarts_are_whole(spark, monkeypatch):
+    import inspect
+
+    from tidemark.plans import QUERIES
+
+    seen = {}
+    monkeypatch.setattr(learning, "tune", lambda df, grids, folds: seen.update(grids=grids, folds=list(folds), df=df))
+    QUERIES["hyperparameter_sweep"](spark, "/root/testdata/sf0.001")
+    assert {k: len(g) for k, g in seen["grids"].items()} == {"gbt": 3, "random_forest": 3}
+    assert not any({"numTrees", "maxIter"} & set(p) for g in seen["grids"].values() for p in g)
+    assert {r["test_fold"] for r in seen["df"].select("test_fold").distinct().collect()} == {-1, *seen["folds"]} == {-1, 0, 1, 2}
+    assert inspect.signature(segments.fit_segmentation).parameters["restarts"].default == 10

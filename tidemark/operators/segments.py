@@ -15,7 +15,7 @@ BUYER_SEGMENTS = ("VIP", "Loyal", "Promising", "At Risk")
 DORMANT = "Dormant"
 
 
-def fit_segmentation(profiles: DataFrame, seed: int = 42, restarts: int = 3) -> DataFrame:
+def fit_segmentation(profiles: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame:
     """(customer_id, segment): clusters named by low recency, high frequency and spend.
 
     Of several starts the one with the smallest cost is kept. With fewer buyers than
