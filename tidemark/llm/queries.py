@@ -234,3 +234,6 @@ FROM d LEFT JOIN per ON d.doc_id = per.doc_id
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+from tidemark.llm import structure_queries  # noqa: E402, F401
