@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.posting_lists import nearest_vectors
+from tidemark.llm.prefix_trie import conversation_trie
 from tidemark.llm.registry import query
 from tidemark.llm.spelling import spelling_variants
 from tidemark.sources.tables import table
@@ -57,3 +59,60 @@ FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.at AND e.form
 @query("op11_spelling_variants", SPELLING_SQL)
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+NEAREST_SQL = """
+WITH good AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)])) AS score
+  FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10
+"""
+
+
+@query("op13_nearest_vectors", NEAREST_SQL)
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+TRIE_SQL = rf"""
+WITH crc AS ({CRC_TABLE}), items AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role,
+    substr(sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS item,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'item': item, 'words': words}} ORDER BY turn NULLS FIRST, role, item) AS s FROM items GROUP BY conv_id
+), seeds AS (
+  SELECT conv_id, s, {crc_of('CAST(conv_id AS VARCHAR)')} % 4 AS h, conv_id - conv_id % 20 AS base FROM own, crc
+), built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s FROM seeds a LEFT JOIN own b ON b.conv_id = a.base
+), paths AS (
+  SELECT conv_id, len(s) AS size, d, array_to_string([x.item FOR x IN s[1:d]], '') AS path,
+    CASE WHEN d > 0 THEN s[d].words ELSE 0 END AS words
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT path, any_value(d) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = size), '')) AS ends_sha256
+  FROM paths GROUP BY path
+), kids AS (
+  SELECT substr(path, 1, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)
+), above AS (
+  SELECT substr(path, 1, 32 * CAST(a AS INTEGER)) AS path, leaf, saved
+  FROM (SELECT path, CAST(n_children = 0 AS BIGINT) AS leaf, (n_convs - 1) * words AS saved, unnest(range(0, depth + 1)) AS a FROM full_nodes)
+), totals AS (SELECT path, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN totals t USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = substr(n.path, 1, length(n.path) - 32)
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
