@@ -243,7 +243,7 @@ def nearest_vectors(
     sane = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < large)) & F.exists("v", lambda x: x != 0)
     base = base.where(F.col("id").isNotNull() & F.coalesce(sane, F.lit(False))).withColumn("h", F.xxhash64("v"))
     # Of equal vectors the k + 1 smallest keys are enough: a query leaves out its own only.
-    order = F.rank().over(Window.partitionBy("h", "v").orderBy("id"))
+    order = F.dense_rank().over(Window.partitionBy("h", "v").orderBy("id"))
     first = base.withColumn("place", order).where(F.col("place") <= k + 1).groupBy("h", "v")
     points = settle(first.agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids")), "points")
     count, width = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
