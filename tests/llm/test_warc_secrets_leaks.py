@@ -197,3 +197,22 @@ def test_automaton_counts_substrings():
     automaton = Automaton(words, 2)
     sizes = [s for s, _ in automaton.stream([1, 2, 3, 1, 9, 2, 1, 2, 3])]
     assert sizes == [1, 2, 3, 3, 0, 1, 2, 3, 4]
+
+
+def test_pairs_within_a_value():
+    text = "url=http://x/?user=bob&password=Ab3dE9xQ77&token=q8W7e6R5t4Y3\nsecret=k9Zx=Tr0ub4dor3"
+    got = [text[a:b] for k, a, b in scan_text(text) if k == "literal"]
+    assert got == ["Ab3dE9xQ77", "q8W7e6R5t4Y3", "k9Zx=Tr0ub4dor3"]
+
+
+@pytest.mark.parametrize("part", ["a{0}=b{0}&", "password=", 'a="a=\\', "secret=a.b", "token: ", "a=b:", "password=aB1&c=", "secret=>x"])
+def test_long_texts_take_linear_time(part):
+    import time
+
+    times = []
+    for size in (125_000, 1_000_000):
+        text = "password " + "".join(part.format(i) for i in range(size // len(part)))
+        start = time.process_time()
+        scan_text(text)
+        times.append(time.process_time() - start)
+    assert times[1] < 16 * max(times[0], 0.05)

@@ -43,6 +43,8 @@ _PAIR = re.compile(
     r"""\x20*(?:=>|:=|=(?!=)|:(?!:))\x20*"""
     r"""(?:(?P<mark>["'`])(?P<literal>(?:\\.|(?!(?P=mark))[^\\\n])*)(?P=mark)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))"""
 )
+# Name and sign within a bare value, as in "config:key=value".
+_HEAD = re.compile(r"(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?:=>|:=|=(?!=)|:(?!:))")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 # What may stand before, between and after name and value on a line of configuration: KEY=value or key: value.
 _LINE_LEADS = ("export", "set", "setx", "ENV", "ARG", "-")
@@ -60,14 +62,32 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a credential: 0 when it is short, a placeholder or a word, up to 1."""
-    if len(value) < 8 or any(c.isspace() for c in value) or value.startswith(("${", "$(", "<", "{{", "%(")):
-        return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[0-9]", "[a-z]", "[A-Z]", r"[^0-9A-Za-z]"))
-    if kinds == 1 and not value.isdigit():
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    return min(1.0, entropy / 3.0) * min(1.0, 0.4 + 0.2 * kinds)
+    return _literal_scores(value, [(0, len(value))])[0]
+
+
+def _literal_scores(text: str, spans: list[tuple[int, int]]) -> list[float]:
+    """``literal_score`` of each span; of spans with one end all but the longest are parts of it, counted once."""
+    out = [0.0] * len(spans)
+    counts: Counter = Counter()
+    end, at = -1, -1
+    for k in sorted(range(len(spans)), key=lambda k: (spans[k][1], -spans[k][0])):
+        start, stop = spans[k]
+        if stop != end:
+            counts, end, at = Counter(), stop, stop
+        counts.update(text[start:at])
+        at = start
+        if stop - start < 8 or text.startswith(("${", "$(", "<", "{{", "%("), start) or any(c.isspace() for c in counts):
+            continue
+        digits = sum(n for c, n in counts.items() if c.isascii() and c.isdigit())
+        lower = any("a" <= c <= "z" for c in counts)
+        upper = any("A" <= c <= "Z" for c in counts)
+        kinds = bool(digits) + lower + upper + any(not (c.isascii() and c.isalnum()) for c in counts)
+        if kinds == 1 and not all(c.isdigit() for c in counts):
+            continue
+        size = stop - start
+        entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
+        out[k] = min(1.0, entropy / 3.0) * min(1.0, 0.4 + 0.2 * kinds)
+    return out
 
 
 def _starts_line(text: str, at: int) -> bool:
@@ -84,16 +104,16 @@ def _starts_line(text: str, at: int) -> bool:
     return False
 
 
-def _is_literal(text: str, found: re.Match, start: int, stop: int) -> bool:
+def _is_literal(text: str, begin: int, sign: int, start: int, stop: int) -> bool:
     """Whether a bare value that could be a name, but is none that is known, is taken for a literal.
 
-    It is when it holds a digit or both cases and is not called or indexed, or when its pair is a line of configuration.
+    It is when it holds a digit or both cases and is not called or indexed, or when its pair, from ``begin`` on with the
+    text from ``sign`` on between name and value, is a line of configuration.
     """
     value = text[start:stop]
     if text[stop : stop + 1] not in ("(", "[") and (any(c.isdigit() for c in value) or value not in (value.lower(), value.upper())):
         return True
-    sign = text[found.end("name") + bool(found["quote"]) : start]
-    return bool(_LINE_SIGN.fullmatch(sign) and _LINE_END.match(text, stop)) and _starts_line(text, found.start())
+    return bool(_LINE_SIGN.fullmatch(text, sign, start) and _LINE_END.match(text, stop)) and _starts_line(text, begin)
 
 
 def name_literal_pairs(text: str) -> list[tuple[str, int, int]]:
@@ -101,41 +121,61 @@ def name_literal_pairs(text: str) -> list[tuple[str, int, int]]:
 
     A bare value that is the name of an earlier literal stands for it: the target name is paired with that literal's
     own place, over any chain of names. Another bare value that could be a name is a literal when it looks like one or
-    its line is one of configuration, and else a reference to what the text does not hold.
+    its line is one of configuration, and else a reference to what the text does not hold. A bare value may hold pairs
+    of its own, as in "config:key=value" or "a=b&c=d"; their values end at the next "&" with a pair or where it ends, and
+    its characters are read once.
     """
     pairs: list[tuple[str, int, int]] = []
     constants: dict[str, tuple[int, int]] = {}
+    longest = 0
     at = 0
     while found := _PAIR.search(text, at):
-        name = found["name"]
         if found["mark"]:
-            place = found.span("literal")
+            heads = []
+            places = [(found["name"], found.span("literal"))]
             at = found.end()
         else:
-            start, stop = found.span("bare")
-            bare = found["bare"].rstrip(".,")
-            stop = start + len(bare)
-            place = constants.get(bare)
-            if place is None and (not _IDENTIFIER.fullmatch(bare) or _is_literal(text, found, start, stop)):
-                place = (start, stop)
-            # What follows a colon may itself be a pair, as in "config: key=value".
-            at = start if re.search("[=:]", bare) and not place == constants.get(bare) else max(found.start() + 1, stop)
-            if place is None:
-                continue
-        if place[1] > place[0]:
-            pairs.append((name, *place))
-            constants[name] = place
+            start = found.start("bare")
+            stop = start + len(found["bare"].rstrip(".,"))
+            heads = [(found["name"], found.start(), found.end("name") + bool(found["quote"]), start)]
+            places, ends = [], []
+            at = max(found.start() + 1, stop)
+            for head in _HEAD.finditer(text, start, found.end()):
+                if head.end() >= stop:
+                    # Its value, a quoted one perhaps, lies behind.
+                    at = head.start()
+                    break
+                # In a query string, as in "a=b&c=d", the next pair ends a value.
+                if text[head.start() - 1] == "&":
+                    ends += [head.start() - 1] * (len(heads) - len(ends))
+                heads.append((head["name"], head.start(), head.end("name"), head.end()))
+            ends += [stop] * (len(heads) - len(ends))
+            heads = [(*head, end) for head, end in zip(heads, ends, strict=True)]
+        for name, begin, sign, low, stop in heads:
+            place = constants.get(text[low:stop]) if stop - low <= longest else None
+            if place is None and (not _IDENTIFIER.fullmatch(text, low, stop) or _is_literal(text, begin, sign, low, stop)):
+                place = (low, stop)
+            if place is not None:
+                places.append((name, place))
+        for name, place in places:
+            if place[1] > place[0]:
+                pairs.append((name, *place))
+                constants[name] = place
+                longest = max(longest, len(name))
     return pairs
 
 
 def find_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Places of literals whose target name and looks together reach the threshold."""
-    found = set()
+    weights: dict[str, float] = {}
+    spans = []
     for name, start, stop in name_literal_pairs(text):
-        weight = name_score(name)
-        if weight and weight * literal_score(text[start:stop]) >= threshold:
-            found.add((start, stop))
-    return sorted(found)
+        if name not in weights:
+            weights[name] = name_score(name)
+        if weights[name]:
+            spans.append((weights[name], (start, stop)))
+    scores = _literal_scores(text, [x for _, x in spans])
+    return sorted({x for (weight, x), score in zip(spans, scores, strict=True) if weight * score >= threshold})
 
 
 def scan_text(text: str, threshold: float = THRESHOLD, hinted: bool = True, hexed: bool = True) -> list[tuple[str, int, int]]:
