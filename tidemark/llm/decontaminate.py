@@ -261,50 +261,3 @@ def merged(spans) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     return [tuple(x) for x in out]
-
-
-def remove_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int = 10, most: float = 0.5) -> DataFrame:
-    """``docs`` without leaked passages: hit spans go from ``text``, and documents go of whose words more than ``most`` are hit.
-
-    The bytes from the first to the last word of a span are removed. Texts without hits (null ones too) stay as they
-    are, every column and repeated row stays. Clashing column names are no matter: columns keep their place.
-    """
-    fields = docs.schema.names
-    at = fields.index(text)
-    benchmark_shards = list(_shards(benchmark, item, item_text, window))
-    shards = [docs.sparkSession.sparkContext.broadcast(s) for s in benchmark_shards]
-
-    def run(batches):
-        from tidemark.llm.columns import FOLD, WORD_BYTES, text_buffer, word_spans
-
-        for whole in batches:
-            for batch in byte_slices([whole], fields[at]):
-                words, rows = hashed_words(batch.column(at))
-                spans: dict[int, list] = {}
-                for shard in shards:
-                    for row, start, stop, _ in shard.value.matches(words, rows):
-                        spans.setdefault(row, []).append((start, stop))
-                if not spans:
-                    yield batch
-                    continue
-                data, offsets = text_buffer(batch.column(at))
-                starts, ends, first = word_spans(FOLD[data], offsets, WORD_BYTES)
-                keep = np.ones(batch.num_rows, bool)
-                texts = batch.column(at).to_pylist()
-                for row, found in spans.items():
-                    found = merged(found)
-                    total = int(first[row + 1] - first[row])
-                    if sum(b - a for a, b in found) > most * total:
-                        keep[row] = False
-                        continue
-                    raw, base = data[offsets[row] : offsets[row + 1]].tobytes(), int(offsets[row])
-                    parts, last = [], 0
-                    for a, b in found:
-                        parts.append(raw[last : starts[first[row] + a] - base])
-                        last = int(ends[first[row] + b - 1]) - base
-                    texts[row] = (b"".join(parts) + raw[last:]).decode("utf-8", "replace")
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)

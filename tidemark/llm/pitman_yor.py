@@ -401,7 +401,8 @@ def _scores(layout: Layout):
             known = eaters[bucket.context] > 0
             probability += np.where(known, (own + new[bucket.context] * base) / total, base) / SAMPLES
         score = np.log10(np.maximum(probability, 1e-300))
-        plain = np.log10(seen + 0.5)[bucket.word]
+        # The norm goes off each token, not off the sum, so that equal parts leave nothing.
+        plain = (np.log10(seen + 0.5) - np.log10(head[0] + 0.5 * (head[1] + 1)))[bucket.word]
         found = (seen > 0)[bucket.word]
         chunks, bodies = [], []
         edges = np.cumsum([0, *bucket.sizes])
@@ -431,7 +432,6 @@ def _documents(key: str, kind: pa.DataType):
             score[docs] += a
             plain[docs] += b
             known[docs] += c.astype(np.int64)
-        plain -= tokens * np.log10(head[0] + 0.5 * (head[1] + 1))
         return pa.table(
             {
                 key: pa.array(ids, mask=missing.astype(bool)).cast(kind),

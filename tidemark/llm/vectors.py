@@ -35,14 +35,19 @@ def unit_moments(vectors: DataFrame, width: int) -> np.ndarray:
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    """Rows of a list column as a matrix, filled up with zeros on the right."""
+    """Rows of a list column as a matrix, filled up with zeros on the right.
+
+    Each row is divided by the power of two below its largest component, which no cosine notices: so squares of tiny
+    and of huge components neither vanish nor overflow.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), width))
     out[np.arange(width) < lengths[:, None]] = flat
-    return out
+    top = np.frexp(np.abs(out).max(axis=1, initial=0))[1] - 1
+    return np.ldexp(out, -top[:, None])
 
 
 def linked(left: np.ndarray, right: np.ndarray, threshold: float, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
