@@ -59,5 +59,5 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     The table is columnar, outlives lost executors and ends the lineage.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
