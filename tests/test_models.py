@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import special
-from tidemark.operators import clv, learning, segments
+from tidemark.operators import clv, learning, likelihood, segments
 from tidemark.operators import preprocessing as pp
 from tidemark.operators.rfm import rfm_scores
 from tidemark.session import scratch_path
@@ -162,13 +162,74 @@ def test_spend_model_recovers_parameters(spark):
     assert v * p / (q - 1) == pytest.approx(4.0 * 50.0 / 5.0, rel=0.1)
 
 
-def test_column_and_array_likelihoods_agree(spark):
-    pdf = purchases(n=50)
-    params = (0.8, 30.0, 1.1, 2.0)
-    df = spark.createDataFrame(pdf)
-    got = df.select(F.sum(clv.bgnbd_loglik(params, F.col("frequency"), F.col("recency"), F.col("tenure")))).first()[0]
-    rows = pdf.rename(columns={"frequency": "x", "recency": "tx", "tenure": "t"})
-    assert got == pytest.approx(clv.bgnbd_loglik_rows(params, rows).sum())
+def test_digamma_and_trigamma(spark):
+    xs = [1e-6, 0.5, 1.0, 3.25, 40.0, 1e7]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    rows = df.select("x", special.digamma(F.col("x")).alias("d"), special.trigamma(F.col("x")).alias("t")).orderBy("x").collect()
+    euler = 0.57721566490153286
+    assert rows[2]["d"] == pytest.approx(-euler, abs=1e-13) and rows[1]["d"] == pytest.approx(-euler - 2 * math.log(2), abs=1e-13)
+    assert rows[2]["t"] == pytest.approx(math.pi**2 / 6, abs=1e-13) and rows[1]["t"] == pytest.approx(math.pi**2 / 2, abs=1e-13)
+    # Recurrence and limits.
+    assert rows[3]["d"] == pytest.approx(sum(1 / (0.25 + i) for i in range(3)) + special_at(spark, special.digamma, 0.25), abs=1e-13)
+    assert rows[5]["d"] == pytest.approx(math.log(1e7) - 0.5e-7, abs=1e-13) and rows[5]["t"] == pytest.approx(1e-7 + 0.5e-14, rel=1e-12)
+    assert rows[0]["t"] == pytest.approx(1e12, rel=1e-11)
+
+
+def special_at(spark, function, x):
+    return spark.range(1).select(function(F.lit(x))).first()[0]
+
+
+def plain_bgnbd(params, x, tx, t):
+    r, alpha, a, b = params
+    common = math.lgamma(r + x) - math.lgamma(r) + r * math.log(alpha) + math.lgamma(a + b) + math.lgamma(b + x) - math.lgamma(b) - math.lgamma(a + b + x)
+    out = math.exp(common - (r + x) * math.log(alpha + t))
+    if x:
+        out += math.exp(common + math.log(a) - math.log(b + x - 1) - (r + x) * math.log(alpha + tx))
+    return math.log(out)
+
+
+def plain_spend(params, x, m):
+    p, q, v = params
+    gammas = math.lgamma(p * x + q) - math.lgamma(p * x) - math.lgamma(q)
+    return gammas + q * math.log(v) + (p * x - 1) * math.log(m) + p * x * math.log(x) - (p * x + q) * math.log(v + m * x)
+
+
+@pytest.mark.parametrize(
+    ("model", "plain", "params", "names", "rows"),
+    [
+        (clv.purchase_model, plain_bgnbd, (0.8, 30.0, 1.1, 2.0), ("x", "tx", "t"), [(0.0, 1.0, 50.0), (1.0, 20.0, 90.0), (6.0, 80.0, 81.0), (2.0, 5.0, 300.0)]),
+        (clv.spend_model, plain_spend, (2.5, 3.0, 40.0), ("x", "m"), [(1.0, 5.0), (4.0, 60.0), (9.0, 21.0)]),
+    ],
+)
+def test_derivatives_are_those_of_the_likelihood(spark, model, plain, params, names, rows):
+    df = spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], ", ".join(f"{n} double" for n in names) + ", n long")
+
+    def value(at):
+        return sum((i + 1) * plain(at, *r) for i, r in enumerate(rows))
+
+    got, slope, curve, n = likelihood.totals(df, model, params, "n")
+    assert got == pytest.approx(value(params), rel=1e-11) and n == sum(range(1, len(rows) + 1))
+    steps = np.diag(np.array(params) * 1e-4)
+    for i, e in enumerate(steps):
+        assert slope[i] == pytest.approx((value(params + e) - value(params - e)) / (2 * e[i]), rel=1e-5, abs=1e-7)
+        for j, f in enumerate(steps):
+            mixed = value(params + e + f) - value(params + e - f) - value(params - e + f) + value(params - e - f)
+            assert curve[i, j] == pytest.approx(mixed / (4 * e[i] * f[j]), rel=1e-3, abs=1e-5)
+
+
+def test_fits_end_where_the_slope_is_zero(spark):
+    rows = clv.purchase_histories(spark.createDataFrame(purchases(n=400))).persist()
+    params = likelihood.maximise(rows, clv.purchase_model, (1.0, 1.0, 1.0, 1.0))
+    assert all(abs(r["slope"]) <= 1e-6 for r in clv.fit_slopes(rows, clv.purchase_model, params, "rabc").collect())
+    with pytest.raises(likelihood.NotConverged):
+        likelihood.maximise(rows, clv.purchase_model, (1.0, 1.0, 1.0, 1.0), steps=2)
+    assert likelihood.maximise(rows.where("false"), clv.purchase_model, (1.0, 2.0, 1.0, 1.0)).tolist() == pytest.approx([1.0, 2.0, 1.0, 1.0])
+
+
+def test_series_that_do_not_end_are_errors():
+    one = np.ones(1)
+    with pytest.raises(ArithmeticError):
+        special.hyp2f1_array(2 * one, 2 * one, one, one * (1 - 1e-9))
 
 
 def test_spend_shrinks_to_the_population(spark):

@@ -133,3 +133,19 @@ def test_prompt_masks_the_profile(spark):
     df = spark.createDataFrame([("mail x@y.org", "ctx")], "p string, c string")
     prompt = df.select(content.email_prompt(F.col("p"), F.col("c"), F.lit("why"))).first()[0]
     assert prompt.startswith("Customer profile: mail [EMAIL]\nChurn risk reason: why\nRelevant context: ctx\n\n")
+
+
+@pytest.mark.parametrize("seed_postings", [1, 60, 4_000])
+def test_retrieval_of_long_texts_with_repeated_and_missing_ids(spark, seed_postings):
+    """Thresholds above zero rule documents out; every row of a repeated id counts."""
+    rng = random.Random(3)
+    frequent, rare = [f"f{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    docs = [(i % 170, " ".join({*rng.sample(frequent, 9), *rng.sample(rare, rng.randrange(1, 60))})) for i in range(200)]
+    queries = [(i, " ".join([*frequent, *docs[i * 7][1].split()[:14], f"only{i}"])) for i in range(20)] + [(50, "nothing known"), (51, "r1"), (52, None)]
+    got = found(
+        retrieval.retrieve(
+            spark.createDataFrame(queries, "query_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string"), 6, seed_postings
+        )
+    )
+    expected = brute([(q, t or "") for q, t in queries], docs, 6)
+    assert got == {q: [(d, pytest.approx(s)) for d, s in hits] for q, hits in expected.items()}

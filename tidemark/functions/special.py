@@ -38,14 +38,33 @@ def lgamma(x: Column) -> Column:
     )
 
 
-def lgamma_array(x: np.ndarray) -> np.ndarray:
-    """The same series on an array, for use inside tasks."""
-    z = np.asarray(x, dtype=float) - 1.0
-    series = np.full_like(z, LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], start=1):
-        series += c / (z + i)
-    t = z + LANCZOS_G + 0.5
-    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(series)
+# Terms of the asymptotic series of digamma, and of its derivative: Bernoulli numbers over their place.
+_DIGAMMA = (-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132, 691 / 32760)
+_TRIGAMMA = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730)
+# Both series are read this far above their argument, where six terms leave nothing.
+_ABOVE = 8
+
+
+def digamma(x: Column) -> Column:
+    """First derivative of ``lgamma`` for positive ``x``."""
+    y = x + F.lit(float(_ABOVE))
+    square = F.lit(1.0) / (y * y)
+    series = F.lit(0.0)
+    for c in reversed(_DIGAMMA):
+        series = (series + F.lit(c)) * square
+    below = sum((F.lit(1.0) / (x + F.lit(float(i))) for i in range(_ABOVE)), F.lit(0.0))
+    return F.ln(y) - F.lit(0.5) / y + series - below
+
+
+def trigamma(x: Column) -> Column:
+    """Second derivative of ``lgamma`` for positive ``x``."""
+    y = x + F.lit(float(_ABOVE))
+    square = F.lit(1.0) / (y * y)
+    series = F.lit(0.0)
+    for c in reversed(_TRIGAMMA):
+        series = (series + F.lit(c)) * square
+    below = sum((F.lit(1.0) / ((x + F.lit(float(i))) * (x + F.lit(float(i)))) for i in range(_ABOVE)), F.lit(0.0))
+    return F.lit(1.0) / y + F.lit(0.5) * square + series / y + below
 
 
 def normal_quantile(p: float) -> float:
@@ -62,7 +81,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 100_000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
@@ -72,8 +91,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"no convergence of the incomplete beta function at {a}, {b}, {x}")
 
 
 def student_two_sided_p(t: float, df: float) -> float:
@@ -119,8 +138,8 @@ def hyp2f1_array(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) ->
         total = total + term
         active = active & (np.abs(term) > 1e-13 * np.abs(total))
         if not active.any():
-            break
-    return total
+            return total
+    raise ArithmeticError("the 2F1 series did not converge; its argument is too near 1")
 
 
 @F.pandas_udf(DoubleType())

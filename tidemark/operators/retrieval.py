@@ -1,8 +1,8 @@
-"""Exact top-k retrieval by shared words or by cosine.
+"""Exact top-k retrieval, by shared words (through the inverted index) or by cosine.
 
-The queries are the small side. While they fit fixed limits they travel to the tasks and
-every corpus partition keeps only its own best k per query. Beyond the limits both sides
-are cut into bounded blocks that meet by shuffle. Neither way ships query-document pairs.
+For vectors the queries are the small side. While they fit fixed limits they travel to the
+tasks and every corpus partition keeps only its own best k per query. Beyond the limits both
+sides are cut into bounded blocks that meet by shuffle. Neither way ships query-vector pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import word_set
+from tidemark.operators.text_index import SEED_POSTINGS, top_documents
 from tidemark.params import DEFAULTS
 
 MAX_QUERIES = 4_000
@@ -52,27 +52,6 @@ class Best:
         )
 
 
-def word_scorer(queries: pd.DataFrame) -> Scorer:
-    """Jaccard of word sets through an inverted index over the queries."""
-    postings: dict[str, list[int]] = {}
-    for i, words in enumerate(queries["items"]):
-        for word in words:
-            postings.setdefault(word, []).append(i)
-    index = {word: np.asarray(rows) for word, rows in postings.items()}
-    sizes = queries["size"].to_numpy(dtype=float)
-
-    def score(docs: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(docs), len(sizes)))
-        for row, words in enumerate(docs["items"]):
-            hits = [index[w] for w in words if w in index]
-            if hits:
-                shared = np.bincount(np.concatenate(hits), minlength=len(sizes))
-                out[row] = shared / (sizes + len(words) - shared)
-        return out
-
-    return score
-
-
 def vector_scorer(queries: pd.DataFrame) -> Scorer:
     """Cosine of vectors; a zero vector scores 0."""
 
@@ -154,61 +133,17 @@ def top_k(
     return _ranked(met.applyInPandas(meet, HIT_SCHEMA), k)
 
 
-def known_words(text: str) -> Column:
-    """The word set of a text; a NULL text has no words."""
-    return F.coalesce(word_set(F.col(text)), F.array().cast("array<string>"))
-
-
-def word_queries(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Queries with the words the corpus knows and a signature of what decides their ranking.
-
-    A ranking depends only on those words and on the number of words, so the many
-    queries that differ in an unknown word alone share one signature. Texts of one query id
-    are queries of their own.
-    """
-    words = queries.select("query_id", known_words("text").alias("words")).distinct()
-    known = (
-        words.select(F.explode("words").alias("word"))
-        .distinct()
-        .join(corpus.select(F.explode("items").alias("word")).distinct(), "word", "left_semi")
-    )
-    exploded = words.select("query_id", "words", F.explode("words").alias("word"))
-    kept = exploded.join(known, "word").groupBy("query_id", "words").agg(
-        F.array_sort(F.collect_list("word")).alias("items")
-    )
-    kept = kept.select(F.col("query_id").alias("kept_id"), F.col("words").alias("kept_words"), "items")
-    same = F.col("query_id").eqNullSafe(F.col("kept_id")) & (F.col("words") == F.col("kept_words"))
-    joined = words.join(kept, same, "left").select(
-        "query_id",
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.size("words").alias("size"),
-    )
-    name = F.concat_ws(" ", F.col("size").cast("string"), F.array_join("items", " "))
-    return joined.withColumn("query", F.sha2(name, 256))
-
-
-def _signature_hits(
-    queries: DataFrame, documents: DataFrame, k: int, max_queries: int
-) -> tuple[DataFrame, DataFrame]:
-    corpus = documents.select("doc_id", known_words("text").alias("items"))
-    named = word_queries(queries, corpus)
-    distinct = named.groupBy("query").agg(
-        F.any_value("items").alias("items"), F.any_value("size").alias("size")
-    )
-    return named.select("query_id", "query"), top_k(distinct, corpus, word_scorer, k, max_queries)
-
-
 def retrieve(
     queries: DataFrame,
     documents: DataFrame,
     k: int = DEFAULTS.top_k_retrieval,
-    max_queries: int = MAX_QUERIES,
+    seed_postings: int = SEED_POSTINGS,
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): best documents by Jaccard of word sets.
 
     ``queries``: query_id, text. ``documents``: doc_id, text.
     """
-    named, hits = _signature_hits(queries, documents, k, max_queries)
+    named, hits = top_documents(queries, documents, k, seed_postings)
     return named.join(hits, "query").drop("query")
 
 
@@ -216,14 +151,14 @@ def retrieve_contexts(
     queries: DataFrame,
     documents: DataFrame,
     k: int = DEFAULTS.top_k_retrieval,
-    max_queries: int = MAX_QUERIES,
+    seed_postings: int = SEED_POSTINGS,
 ) -> DataFrame:
     """(query_id, context, sources): texts of the best documents in rank order.
 
     Texts are fetched once per signature, not per query, so a document that is the best
     of very many queries is not joined with each of them.
     """
-    named, hits = _signature_hits(queries, documents, k, max_queries)
+    named, hits = top_documents(queries, documents, k, seed_postings)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text")))
     texts = (
         hits.join(documents.select("doc_id", "text"), "doc_id")

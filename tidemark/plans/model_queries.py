@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clv, drift, learning, quality, rfm, segments, splits
 from tidemark.operators import features as ft
 from tidemark.operators import preprocessing as pp
+from tidemark.operators.likelihood import maximise
 from tidemark.plans.base_sql import cte, days, sql
 from tidemark.plans.experiment_queries import category_psi_sql, numeric_psi_sql
 from tidemark.plans.ranking_queries import _rounded, frac
@@ -426,6 +427,27 @@ def _gg_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(map(float, params))], "p double, q double, v double")
 
 
+def _zero_slopes(*names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', true)" for n in names) + ") AS t(parameter, slope_is_zero)"
+
+
+def _slopes(rows: DataFrame, model, names: tuple[str, ...]) -> DataFrame:
+    """Whether the likelihood is level, to 1e-6 per customer and log parameter, where the fit ends."""
+    rows = settle(rows, "histories")
+    left = clv.fit_slopes(rows, model, maximise(rows, model, [1.0] * len(names)), names)
+    return left.select("parameter", (F.abs("slope") <= 1e-6).alias("slope_is_zero"))
+
+
+@query("bgnbd_fit_slopes", _zero_slopes("r", "alpha", "a", "b"))
+def _bgnbd_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slopes(clv.purchase_histories(clv_base(spark, sf_dir)), clv.purchase_model, ("r", "alpha", "a", "b"))
+
+
+@query("gamma_gamma_fit_slopes", _zero_slopes("p", "q", "v"))
+def _gg_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slopes(clv.spend_histories(clv_base(spark, sf_dir)), clv.spend_model, ("p", "q", "v"))
+
+
 @query("segments")
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.fit_segmentation(settle(profiles(spark, sf_dir, columns=CLV_COLUMNS), "rfm"))
