@@ -80,3 +80,25 @@ def test_running_by_key_with_a_hot_key(spark, slice_rows, before):
         if not before:
             expected[i] = (counts[k], lasts[k])
     assert seen == expected
+
+
+@pytest.mark.parametrize("slice_rows", [200, 1_000_000])
+def test_hot_keys_of_different_spans_and_equal_times(spark, slice_rows):
+    """A key within a second, one over years, one of equal times told apart by id, and a null key."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(4000):
+        k = rng.choice([1, 1, 2, 2, 3, 3, None, rng.randrange(10, 90)])
+        at = {1: i * 1e-6, 2: i * 90_000.0, 3: 5.0}.get(k, rng.random() * 1e6)
+        rows.append((k, i, at, rng.choice([None, 1.0, 2.0]), {} if i % 2 else None))
+    df = spark.createDataFrame([r[:4] for r in rows], "k int, id bigint, s double, v double").withColumn("ts", F.timestamp_seconds("s"))
+    got = rn.running_by_key(df.repartition(5), "k", ["ts", "id"], {"n": F.lit(1)}, {"last": F.col("v")}, slice_rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+    seen = {r["id"]: (r["n"], r["last"]) for r in got.collect()}
+    counts, lasts, expected = {}, {}, {}
+    for k, i, at, v, _ in sorted(rows, key=lambda r: (round(r[2], 6), r[1])):
+        counts[k] = counts.get(k, 0) + 1
+        lasts[k] = v if v is not None else lasts.get(k)
+        expected[i] = (counts[k], lasts[k])
+    assert seen == expected

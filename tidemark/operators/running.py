@@ -5,35 +5,63 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 SLICE_ROWS = 2_000_000
 
 
-def slice_edges(df: DataFrame, column: Column, slice_rows: int) -> list[float]:
-    """Approximate equal-count edges; none when all rows fit one slice.
+def in_ranges(df: DataFrame, order: Sequence[Column], rows: int, slice_rows: int) -> DataFrame:
+    """``df`` with ``_part``, the number of the range of ``order`` a row lies in.
 
-    The edges reach the driver once and are literals afterwards, so every later pass
-    sees the same slices even when a stage is run again.
+    Ranges hold some ``slice_rows`` rows each, wherever the values crowd: a key with a third of all rows spans a third
+    of the ranges. The table is written once, so that ranges stay as they are when a task is repeated.
     """
-    values = df.select(column.cast("double").alias("v"))
-    slices = math.ceil(values.count() / slice_rows)
-    if slices <= 1:
-        return []
-    probs = [i / slices for i in range(1, slices)]
-    return sorted(set(values.approxQuantile("v", probs, 0.25 / slices)))
+    parts = max(math.ceil(rows / slice_rows), 1)
+    return settle(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def with_slice(df: DataFrame, column: Column, edges: Sequence[float]) -> DataFrame:
-    """Add ``_slice``, the number of the slice holding ``column``."""
-    if not edges:
-        return df.withColumn("_slice", F.lit(0))
-    splits = [-math.inf, *edges, math.inf]
-    keyed = df.withColumn("_at", column.cast("double"))
-    binned = Bucketizer(splits=splits, inputCol="_at", outputCol="_bin").transform(keyed)
-    return binned.withColumn("_slice", F.col("_bin").cast("int")).drop("_at", "_bin")
+def _scan(
+    ranged: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], lasts: Mapping[str, Column], end: int
+) -> DataFrame:
+    """Running sums and last values per key over ranges: within each range, moved up by what earlier ranges left.
+
+    What a range leaves of a key is one row; keys within a single range need none. It meets the rows by key and range.
+    """
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    columns = {n: F.sum(e).over(inside) for n, e in sums.items()}
+    columns |= {n: F.last(e, ignorenulls=True).over(inside) for n, e in lasts.items()}
+
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    marked = ranged.withColumn("_place", place) if lasts else ranged
+    left = marked.groupBy(*keys, "_part").agg(
+        *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()],
+        *[F.max_by(F.struct(e.alias("v")), F.when(e.isNotNull(), F.col("_place"))).alias(f"_t_{n}") for n, e in lasts.items()],
+    )
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = left.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_part").alias("_at"),
+        F.count(F.lit(1)).over(before).alias("_earlier"),
+        *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before)["v"].alias(f"_o_{n}") for n in lasts],
+    ).where("_earlier > 0")
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = ranged.withColumns(columns).join(offsets, same, "left")
+    final = {
+        n: F.when(
+            F.col(n).isNotNull() | F.col(f"_o_{n}").isNotNull(),
+            F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)),
+        )
+        for n in sums
+    }
+    final |= {n: F.coalesce(F.col(n), F.col(f"_o_{n}")) for n in lasts}
+    spare = ["_part", "_at", "_earlier", *[f"_k_{k}" for k in keys], *[f"_o_{n}" for n in [*sums, *lasts]]]
+    return joined.withColumns(final).drop(*spare)
 
 
 def running_totals(
@@ -44,45 +72,14 @@ def running_totals(
     by: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Add inclusive running sums along ``order``, a column unique per row (of each group).
-
-    Rows are cut into slices of the order column; each slice is summed on its own and
-    shifted by the total of the slices before it, a table of one row per group and slice.
-    """
-    edges = slice_edges(df, F.col(order), slice_rows)
-    sliced = with_slice(df, F.col(order), edges)
-
-    def direction(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
-
-    inside = (
-        Window.partitionBy(*by, "_slice")
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = {name: F.sum(expr).over(inside) for name, expr in sums.items()}
-    if not edges:
-        return sliced.withColumns(running).drop("_slice")
-    before = (
-        Window.partitionBy(*by, F.lit(0))
-        .orderBy(direction("_slice"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = sliced.groupBy(*by, "_slice").agg(
-        *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()]
-    )
-    offsets = totals.select(
-        *by, "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums]
-    )
-    joined = sliced.withColumns(running).join(F.broadcast(offsets), [*by, "_slice"])
-    shifted = {n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums}
-    return joined.withColumns(shifted).drop("_slice", *[f"_o_{n}" for n in sums])
-
-
-def hot_keys(df: DataFrame, key: str, slice_rows: int) -> list:
-    """Keys with more than ``slice_rows`` rows; at most rows / slice_rows of them exist."""
-    counts = df.groupBy(key).count().where(F.col("count") > slice_rows)
-    return [r[key] for r in counts.select(key).collect()]
+    """Add inclusive running sums along ``order``, a column unique per row (of each group)."""
+    at = [F.col(order).desc() if descending else F.col(order).asc()]
+    rows = df.count()
+    if rows > slice_rows:
+        ranged = in_ranges(df, [*[F.col(k).asc() for k in by], *at], rows, slice_rows)
+        return _scan(ranged, list(by), at, sums, {}, Window.currentRow)
+    upto = Window.partitionBy(*by or [F.lit(0)]).orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({n: F.sum(e).over(upto) for n, e in sums.items()})
 
 
 def running_by_key(
@@ -94,62 +91,23 @@ def running_by_key(
     slice_rows: int = SLICE_ROWS,
     before_row: bool = False,
 ) -> DataFrame:
-    """Add running sums and last non-NULL values per key, in ``order`` (a timestamp first).
+    """Add running sums and last non-NULL values per key, in ``order``.
 
-    They cover the rows up to and including each row, or only those before it.
-    A key with more rows than a slice holds is cut into time slices. Those are summed
-    apart and shifted by what the key's earlier slices left behind.
+    They cover the rows up to and including each row, or only those before it. Where a key has
+    more rows than a slice holds, all rows are cut into ranges of key and order, and keys that
+    lie in several ranges are put together from these. Only whether there is such a key, and
+    the number of rows, come to the driver.
     """
     sums, lasts = sums or {}, lasts or {}
-    hot = hot_keys(df, key, slice_rows)
     end = -1 if before_row else Window.currentRow
-
-    def running(*partition: str) -> dict[str, Column]:
-        upto = (
-            Window.partitionBy(*partition)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, end)
-        )
-        cols = {n: F.sum(e).over(upto) for n, e in sums.items()}
-        return cols | {n: F.last(e, ignorenulls=True).over(upto) for n, e in lasts.items()}
-
-    if not hot:
-        return df.withColumns(running(key))
-
-    crowd = F.col(key).isin(*hot)
-    instant = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    edges = slice_edges(df.where(crowd), instant, slice_rows)
-    sliced = with_slice(df, instant, edges).withColumn(
-        "_slice", F.when(crowd, F.col("_slice")).otherwise(F.lit(0))
-    )
-    at = F.struct(*order)
-    left = sliced.where(crowd).groupBy(key, "_slice").agg(
-        *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()],
-        *[
-            F.max_by(F.when(e.isNotNull(), e), F.when(e.isNotNull(), at)).alias(f"_t_{n}")
-            for n, e in lasts.items()
-        ],
-    )
-    before = (
-        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = left.select(
-        key,
-        "_slice",
-        *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums],
-        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_o_{n}") for n in lasts],
-    )
-    # One row per hot key and slice: both counts are bounded by rows / slice_rows.
-    joined = sliced.withColumns(running(key, "_slice")).join(F.broadcast(offsets), [key, "_slice"], "left")
-    final = {
-        n: F.when(
-            F.col(n).isNotNull() | F.col(f"_o_{n}").isNotNull(),
-            F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)),
-        )
-        for n in sums
-    }
-    final |= {n: F.coalesce(F.col(n), F.col(f"_o_{n}")) for n in lasts}
-    return joined.withColumns(final).drop("_slice", *[f"_o_{n}" for n in [*sums, *lasts]])
+    crowded = df.groupBy(key).count().where(F.col("count") > slice_rows)
+    if crowded.isEmpty():
+        upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        columns = {n: F.sum(e).over(upto) for n, e in sums.items()}
+        return df.withColumns(columns | {n: F.last(e, ignorenulls=True).over(upto) for n, e in lasts.items()})
+    at = [F.col(c).asc() for c in order]
+    ranged = in_ranges(df, [F.col(key).asc(), *at], df.count(), slice_rows)
+    return _scan(ranged, [key], at, sums, lasts, end)
 
 
 def carry_last(

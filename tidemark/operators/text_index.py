@@ -1,7 +1,7 @@
 """Best documents by shared words: an inverted index with bounds, on joins and sums alone.
 
-A query's words stand in order of how many documents hold them. The rarest ones alone give every
-query a threshold that its k-th best document reaches. With it most of the work falls away: a
+A query's words stand in order of how many documents hold them. The rarest ones and a sample of the
+documents give every query a threshold that its k-th best document reaches. With it most of the work falls away: a
 document that shares none but a query's most frequent words cannot reach the threshold, nor can one
 with too many other words. The rest is counted word by word next to its documents, so that one row
 for each surviving pair, not one for each shared word, is all that could move.
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import word_set
 from tidemark.session import settle
 
-# Documents of a query's rarest words that are looked at for its threshold.
-SEED_POSTINGS = 4_000
+# Documents that are looked at for thresholds: of a query's rarest words, and drawn by hash.
+SEED_POSTINGS = 2_000
 # Room for rounding where a bound meets a threshold.
 SLACK = 1e-12
 
@@ -70,10 +70,14 @@ def ranked_words(queries: DataFrame, index: DataFrame, words: DataFrame) -> tupl
 def thresholds(terms: DataFrame, index: DataFrame, k: int, seed_postings: int) -> DataFrame:
     """``query, threshold``: what the k-th best document scores at least; queries with fewer candidates are left out.
 
-    Words shared among a query's rarest ones, some ``seed_postings`` postings of them, bound a score from below.
+    Two sets of documents bound it from below: those of each query's rarest words, by the shared ones of these, some
+    ``seed_postings`` postings of them; and a sample of as many documents, drawn by hash, by all shared words.
     """
-    seeds = terms.where(F.col("before") < seed_postings).select("query", "n", "code")
-    met = postings(index).join(seeds, "code").groupBy("query", "row").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("size").alias("size"))
+    share = min(1.0, seed_postings / max(index.count(), 1))
+    drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))
+    rare = F.col("before") < seed_postings
+    met = index.select("row", "size", drawn.alias("drawn"), F.explode("codes").alias("code")).join(terms.select("query", "n", "code", rare.alias("rare")), "code")
+    met = met.where("drawn or rare").groupBy("query", "row").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("size").alias("size"))
     least = met.select("query", jaccard(F.col("shared"), F.col("n"), F.col("size")).alias("least"))
     order = Window.partitionBy("query").orderBy(F.col("least").desc())
     best = least.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
@@ -82,26 +86,25 @@ def thresholds(terms: DataFrame, index: DataFrame, k: int, seed_postings: int) -
 
 def best_matches(terms: DataFrame, index: DataFrame, k: int, seed_postings: int) -> DataFrame:
     """``query, doc_id, score``, ``k`` at most: documents that share a word with a query, best first."""
-    limits = settle(
-        terms.join(thresholds(terms, index, k, seed_postings), "query", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)) - SLACK),
-        "query-limits",
-    )
+    threshold = F.coalesce("threshold", F.lit(0.0)) - SLACK
+    limits = terms.join(thresholds(terms, index, k, seed_postings), "query", "left").withColumn("threshold", threshold)
     # A document whose rarest shared word stands at this place shares no more than the words from there on.
     room = F.col("known") - F.col("place") + 1
-    limits = limits.withColumn("room", room)
-    leading = limits.where(F.col("room") >= F.col("threshold") * F.col("n"))
-    counted = leading.groupBy("query").agg(F.max("place").alias("leading"))
-    leading = leading.join(counted, "query").select("query", "n", "known", "threshold", "code", "leading")
-    most = F.least("known", "size")
-    met = postings(index.repartition("row")).join(leading, "code").where(jaccard(most, F.col("n"), F.col("size")) >= F.col("threshold"))
+    limits = settle(limits.withColumn("leads", room >= F.col("threshold") * F.col("n")), "query-limits")
+    # All of a query's known words in a document of ``longest`` words just reach the threshold.
+    longest = F.when(F.col("threshold") > 0, F.floor(F.col("known") / F.col("threshold") + F.col("known") - F.col("n") + 1e-6)).otherwise((1 << 31) - 1)
+    per_query = limits.groupBy("query", "n", "known", "threshold").agg(
+        F.count_if("leads").alias("leading"), F.collect_list(F.when(~F.col("leads"), F.col("code"))).alias("rest")
+    )
+    leading = limits.where("leads").select("query", "code", longest.alias("longest"))
+    met = postings(index.repartition("row")).join(leading, "code").where(F.col("size") <= F.col("longest"))
     # Words of a document lie in one task, and so does its count.
-    pairs = met.groupBy("row", "query", "doc_id", "size", "n", "known", "threshold", "leading").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = met.groupBy("row", "query").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
     most = F.least(F.col("shared") + F.col("known") - F.col("leading"), F.col("size"))
-    pairs = pairs.where(jaccard(most, F.col("n"), F.col("size")) >= F.col("threshold"))
+    pairs = pairs.join(per_query, "query").where(jaccard(most, F.col("n"), F.col("size")) >= F.col("threshold"))
     # The frequent words that were left out are looked up for the pairs that remain.
-    rest = limits.join(counted, "query").where(F.col("place") > F.col("leading")).groupBy("query").agg(F.collect_list("code").alias("rest"))
-    full = pairs.join(rest, "query", "left").join(index.repartition("row").select("row", "codes"), "row")
-    shared = F.col("shared") + F.coalesce(F.size(F.array_intersect("codes", "rest")), F.lit(0))
+    full = pairs.drop("size").join(index.repartition("row").select("row", "doc_id", "size", "codes"), "row")
+    shared = F.col("shared") + F.size(F.array_intersect("codes", "rest"))
     scored = full.select("query", "doc_id", "row", jaccard(shared, F.col("n"), F.col("size")).alias("score"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query", "doc_id", "score")
