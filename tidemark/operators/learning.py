@@ -24,6 +24,7 @@ from tidemark.operators import preprocessing as pp
 from tidemark.operators.ensemble import ensemble_weights, platt, soft_vote
 from tidemark.operators.scoring import with_tier
 from tidemark.operators.splits import fold_assignment, stratified_split
+from tidemark.operators.tree_contributions import tree_importance
 from tidemark.session import settle
 
 LEARNERS = {
@@ -263,15 +264,13 @@ def linear_importance(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
 
 
 def model_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Importances of a fitted pipeline: contributions when linear, split gains when trees."""
+    """Mean absolute contributions to the score of a fitted pipeline, exact for linear models and for trees."""
     learner = model.stages[-1]
     inputs = model.stages[-2].getInputCols()
     if hasattr(learner, "coefficients"):
         prepared = model.stages[0].transform(df)
         return linear_importance(prepared, dict(zip(inputs, map(float, learner.coefficients), strict=True)))
-    gains = learner.featureImportances.toArray()
-    rows = [(c, float(g)) for c, g in zip(inputs, gains, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "feature string, mean_abs_contribution double")
+    return tree_importance(model, df, KEY)
 
 
 def moved_on(column: str, ring: WindowSpec) -> Column:

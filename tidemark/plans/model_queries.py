@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +14,7 @@ from tidemark.operators import clv, drift, learning, quality, rfm, segments, spl
 from tidemark.operators import features as ft
 from tidemark.operators import preprocessing as pp
 from tidemark.operators.likelihood import maximise
+from tidemark.operators.tree_contributions import with_contributions
 from tidemark.plans.base_sql import cte, days, sql
 from tidemark.plans.experiment_queries import category_psi_sql, numeric_psi_sql
 from tidemark.plans.ranking_queries import _rounded, frac
@@ -213,6 +216,18 @@ def _model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.model_importance(model, rows)
 
 
+@query("tree_contribution_sums", sql("SELECT customer_id, true AS adds_up FROM training", "training"))
+def _contribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether base and contributions of all inputs add up to the margin of the boosted trees, for every customer."""
+    rows = training(spark, sf_dir)
+    model = learning.fit_pipeline(rows, "gbt")
+    shares = with_contributions(model, rows, "customer_id")
+    total = reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in shares.columns[2:]], F.col("base"))
+    margin = model.transform(rows).select("customer_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    near = F.abs(F.col("total") - F.col("margin")) <= 1e-9 * (1 + F.abs("margin"))
+    return shares.select("customer_id", total.alias("total")).join(margin, "customer_id").select("customer_id", near.alias("adds_up"))
+
+
 @query("permutation_importance")
 def _permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training(spark, sf_dir)
