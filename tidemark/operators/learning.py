@@ -24,6 +24,7 @@ from tidemark.operators import preprocessing as pp
 from tidemark.operators.ensemble import ensemble_weights, platt, soft_vote
 from tidemark.operators.scoring import with_tier
 from tidemark.operators.splits import fold_assignment, stratified_split
+from tidemark.operators.synthetic import synthetic_rows
 from tidemark.operators.tree_contributions import tree_importance
 from tidemark.session import settle
 
@@ -54,16 +55,27 @@ def fit_pipeline(
     params: Mapping[str, Any] | None = None,
     label: str = LABEL,
     features: Sequence[str] | None = None,
+    synthetic: bool = False,
+    key: str = KEY,
 ) -> PipelineModel:
-    """Preprocessing, assembly and learner, fitted on ``train`` with balancing weights."""
+    """Preprocessing, assembly and learner, fitted on ``train`` with balancing weights.
+
+    With ``synthetic``, and a minority below MINORITY_RATE, the learner sees synthetic rows of
+    the smaller class as well, made of the prepared rows of ``train`` alone.
+    """
     columns = list(features or pp.feature_columns(train, label))
     prepared = pp.fit_preprocessor(
         train, pp.numeric_features(train, columns), pp.categorical_features(train, columns)
     )
     weighted = train.withColumn(WEIGHT, pp.weight_column(train, label))
     assembler = VectorAssembler(inputCols=prepared.outputs, outputCol="features")
-    stages = [prepared.transformer(), assembler, make_model(kind, params, label)]
-    return Pipeline(stages=stages).fit(weighted)
+    learner = make_model(kind, params, label)
+    if not (synthetic and pp.class_balance(train, label).first()["imbalanced"]):
+        return Pipeline(stages=[prepared.transformer(), assembler, learner]).fit(weighted)
+    real = settle(prepared.transform(weighted).select(key, label, WEIGHT, *prepared.outputs), "prepared")
+    made = synthetic_rows(real, label, key, prepared.outputs).withColumn(WEIGHT, pp.weight_column(train, label))
+    both = settle(real.drop(key).unionByName(made), "with-synthetic")
+    return PipelineModel(stages=[prepared.transformer(), assembler, learner.fit(assembler.transform(both))])
 
 
 def positive(model: Transformer, df: DataFrame, name: str) -> DataFrame:
@@ -83,15 +95,19 @@ def out_of_fold(
     folds: int = 5,
     label: str = LABEL,
     key: str = KEY,
+    synthetic: bool = True,
 ) -> DataFrame:
-    """(key, label, fold, one probability per kind): each row scored by models not fitted on it."""
+    """(key, label, fold, one probability per kind): each row scored by models not fitted on it.
+
+    Where the minority is small, each fold's models also learn from ``synthetic`` rows of its training part.
+    """
     folded = settle(fold_assignment(df, label, key, folds), "folds")
     columns = pp.feature_columns(folded.drop("fold"), label)
     parts = []
     for fold in range(folds):
         train, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         for kind in kinds:
-            model = fit_pipeline(train, kind, (params or {}).get(kind), label, columns)
+            model = fit_pipeline(train, kind, (params or {}).get(kind), label, columns, synthetic, key)
             valid = positive(model, valid, f"p_{kind}")
         parts.append(valid.select(key, label, "fold", *[f"p_{k}" for k in kinds]))
     return reduce(DataFrame.unionByName, parts)

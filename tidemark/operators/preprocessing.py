@@ -175,6 +175,8 @@ def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
     """Repeat minority rows until the classes are about even; fractions by a hash of the key."""
     row = class_balance(df, label).first()
     rate = row["positive_rate"]
+    if not rate or rate == 1:
+        return df
     minority, times = (1, (1 - rate) / rate) if rate <= 0.5 else (0, rate / (1 - rate))
     whole, part = int(times), times - int(times)
     extra = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(part * 1_000_000))
