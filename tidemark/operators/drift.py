@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BooleanType, NumericType
 
 from tidemark.functions.binning import bin_left
 from tidemark.operators.selection import VALUE_LIMIT, inner_quantile_edges
@@ -18,7 +18,8 @@ NULL_VALUE = "nan"
 
 
 def _is_numeric(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, NumericType)
+    """Numbers, and flags as 0 and 1."""
+    return isinstance(df.schema[column].dataType, (NumericType, BooleanType))
 
 
 def _cells(df: DataFrame, columns: list[str], numeric: dict[str, list[float]], side: int) -> DataFrame:
@@ -44,7 +45,7 @@ def psi_scores(
     columns = [c for c in reference.columns if c in current.columns]
     numbers = [c for c in columns if _is_numeric(reference, c) and _is_numeric(current, c)]
     edges = (
-        inner_quantile_edges(reference, {c: F.col(c) for c in numbers}, bins, limit)
+        inner_quantile_edges(reference, {c: F.col(c).cast("double") for c in numbers}, bins, limit)
         if numbers
         else {}
     )

@@ -146,8 +146,8 @@ def constraint_tests(
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free checksum over all columns, as text: the sum outgrows 64 bits."""
-    total = F.sum(row_checksum(*[F.col(c) for c in df.columns]))
+    """Row count and an order-free checksum over all columns, as text: the sum outgrows 64 bits (up to 1e18 rows)."""
+    total = F.sum(row_checksum(*[F.col(c) for c in df.columns]).cast("decimal(28,0)"))
     return df.agg(
         F.count("*").alias("total_rows"),
         F.coalesce(total, F.lit(0)).cast("string").alias("checksum"),

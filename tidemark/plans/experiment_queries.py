@@ -340,9 +340,9 @@ ORDERS_CUR = "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
 LINES_REF = "(SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01')"
 LINES_CUR = "(SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')"
 ORDER_NUMBERS = ("o_totalprice", "o_orderkey", "o_custkey")
-ORDER_TEXTS = ("o_orderstatus", "o_orderpriority")
-LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-LINE_TEXTS = ("l_returnflag", "l_linestatus")
+ORDER_TEXTS = ("o_orderstatus", "o_orderpriority", "o_orderdate")
+LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_TEXTS = ("l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def _psi_rows(numbers, texts, ref: str, cur: str) -> str:

@@ -142,12 +142,24 @@ _PSIS = ", ".join(
 _MISSING = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in ft.FEATURE_COLUMNS)
 
 
+PRINTED = ["customer_id", *ft.FEATURE_COLUMNS, "churn", "recency_churn"]
+
+
+def _printed_text(column: str) -> str:
+    """SQL for a value with its length; averages as decimals, which all engines write alike."""
+    text = f"CAST(CAST({column} AS DECIMAL(20,6)) AS VARCHAR)" if column == "avg_rating_given" else f"CAST({column} AS VARCHAR)"
+    return f"COALESCE(len({text}) || ':' || {text}, '~')"
+
+
+_PRINT = " || ".join(map(_printed_text, PRINTED))
+
+
 @query(
     "model_guardrails",
     sql(
         f"""WITH f AS (SELECT {_MISSING} AS missing, LEAST(avg(churn), 1 - avg(churn)) AS minority FROM training),
 d AS (SELECT list_max([{_PSIS}]) AS m),
-s AS (SELECT CAST(sum(CAST('0x' || substr(md5(len(CAST(customer_id AS VARCHAR)) || ':' || customer_id || len(CAST(churn AS VARCHAR)) || ':' || churn), 1, 16) AS HUGEINT)) AS VARCHAR) AS c FROM training)
+s AS (SELECT CAST(sum(CAST('0x' || substr(md5({_PRINT}), 1, 16) AS HUGEINT)) AS VARCHAR) AS c FROM training)
 SELECT 'data_quality' AS "check", 'pass' AS status, 'missing ' || missing || ', duplicates 0' AS detail FROM f
 UNION ALL SELECT 'class_balance', CASE WHEN minority > 0.05 THEN 'pass' ELSE 'warn' END, 'minority rate ' || CAST(CAST(round(minority, 4) AS DECIMAL(20,4)) AS VARCHAR) FROM f
 UNION ALL SELECT 'leakage', 'pass', 'removed churn, customer_id, recency_churn'
@@ -168,7 +180,7 @@ def _guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
         "churn",
         drift.psi_scores(*parts),
         quality.duplicate_rows(whole),
-        quality.table_fingerprint(whole.select("customer_id", "churn")),
+        quality.table_fingerprint(whole.select(*PRINTED).withColumn("avg_rating_given", F.col("avg_rating_given").cast("decimal(20,6)"))),
     )
 
 
