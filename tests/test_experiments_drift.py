@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.special import student_quantile, student_two_sided_p
+from tidemark.functions.special import normal_two_sided_p, student_quantile, student_two_sided_p
 from tidemark.operators import drift
 from tidemark.operators import experiments as ex
 
@@ -47,13 +47,39 @@ def test_assignment(spark):
         ex.assign_groups(df, key="nope")
 
 
-def test_student():
-    # Closed forms for one and two degrees of freedom.
-    assert student_two_sided_p(1.0, 1) == pytest.approx(0.5)
+def value(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_student_and_normal_tails(spark):
+    def p(t, df):
+        return value(spark, student_two_sided_p(F.lit(float(t)), F.lit(float(df))))
+
     t = 1.7
-    assert student_two_sided_p(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t))
-    assert student_quantile(0.975, 1e7) == pytest.approx(1.959964, abs=1e-5)
-    assert student_two_sided_p(student_quantile(0.975, 8.5), 8.5) == pytest.approx(0.05)
+    assert p(1.0, 1) == pytest.approx(0.5, rel=1e-12) and p(0, 3) == 1.0
+    assert p(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-12)
+    # Closed forms in the far tail, and the normal limit.
+    assert p(1e6, 1) == pytest.approx(2 / math.pi * math.atan(1e-6), rel=1e-10)
+    assert p(1e4, 2) == pytest.approx(1e-8 * (1 - 1.5e-8), rel=1e-7)
+    for z in (1e-3, 0.5, 2.0, 6.0, 30.0):
+        assert value(spark, normal_two_sided_p(F.lit(z))) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-12)
+        assert p(z, 1e12) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-8)
+    # P for four degrees of freedom: x = t / sqrt(4 + t^2), 1 - x (3 - x^2) / 2.
+    for t in (0.1, 1.0, 3.0, 8.0):
+        x = t / math.sqrt(4 + t * t)
+        assert p(t, 4) == pytest.approx(1 - x * (3 - x * x) / 2, rel=1e-9)
+
+
+def test_student_quantiles(spark):
+    def q(p, df):
+        return value(spark, student_quantile(p, F.lit(float(df))))
+
+    assert q(0.975, 1e7) == pytest.approx(1.959964, abs=1e-5)
+    assert q(0.975, 1) == pytest.approx(math.tan(math.pi * 0.475), rel=1e-10)
+    assert q(0.9999, 2) == pytest.approx(2 * 0.4999 * math.sqrt(2 / (1 - 4 * 0.4999**2)), rel=1e-9)
+    for df in (1.3, 8.5, 400.0, 123456.0):
+        assert value(spark, student_two_sided_p(student_quantile(0.975, F.lit(df)), F.lit(df))) == pytest.approx(0.05, rel=1e-9)
+
 
 
 def outcome_frame(spark, control, treatment, n=2500):

@@ -10,10 +10,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tidemark.functions.hashing import hash_fraction
 from tidemark.functions.special import (
@@ -142,21 +140,6 @@ def srm_check(df: DataFrame, ratio: float = 0.5, alpha: float = DEFAULTS.alpha)
 # ---------- tests ----------
 
 
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    return z.map(normal_two_sided_p)
-
-
-@F.pandas_udf(DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([student_two_sided_p(a, b) for a, b in zip(t, df, strict=True)])
-
-
-@F.pandas_udf(DoubleType())
-def student_critical(df: pd.Series, p: pd.Series) -> pd.Series:
-    return pd.Series([student_quantile(b, a) for a, b in zip(df, p, strict=True)])
-
-
 def arm_stats(df: DataFrame, metric: str) -> DataFrame:
     """Rows, mean and sample variance per arm."""
     return df.groupBy("assignment").agg(
@@ -250,8 +233,8 @@ def welch_test(df: DataFrame, metric: str, alpha: float = DEFAULTS.alpha) -> Dat
     """Welch test of a metric between the arms, with p-value and interval."""
     row = welch(two_arms(df, metric))
     flat = F.col("std_error") == 0
-    p = F.when(flat, 1.0).otherwise(student_p(F.col("t_stat"), F.col("df")))
-    margin = student_critical(F.col("df"), F.lit(1 - alpha / 2)) * F.col("std_error")
+    p = F.when(flat, 1.0).otherwise(student_two_sided_p(F.col("t_stat"), F.col("df")))
+    margin = student_quantile(1 - alpha / 2, F.col("df")) * F.col("std_error")
     return row.select(
         "mean_diff",
         "t_stat",
@@ -399,7 +382,7 @@ def analyze_experiment(df: DataFrame, alpha: float = DEFAULTS.alpha) -> DataFram
 
 def with_p_values(report: DataFrame) -> DataFrame:
     """Add the p-values of an experiment report, computed on its one row."""
-    out = report.withColumn("p_value", normal_p(F.col("z_stat")))
+    out = report.withColumn("p_value", normal_two_sided_p(F.col("z_stat")))
     if "net_t_stat" in report.columns:
-        out = out.withColumn("net_p_value", student_p(F.col("net_t_stat"), F.col("net_df")))
+        out = out.withColumn("net_p_value", student_two_sided_p(F.col("net_t_stat"), F.col("net_df")))
     return out

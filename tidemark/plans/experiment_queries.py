@@ -223,9 +223,29 @@ def _welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(rounded, 9, "t_stat"), 4, "df")
 
 
-@query("ab_welch_p_value")
+def student_p_sql(t: str, df: str) -> str:
+    """Two-sided p by Simpson's rule over the density from 0 to ``t``, 4,000 steps."""
+    density = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi())"
+    return f"""(1 - 2 * {density} * abs({t}) / 12000 * list_sum([CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * pow(1 + pow({t} * i / 4000.0::DOUBLE, 2) / {df}, -({df} + 1) / 2) FOR i IN range(4001)]))"""
+
+
+NORMAL_P = """(1 - 2 / sqrt(2 * pi()) * abs(z) / 12000 * list_sum([CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * exp(-pow(z * i / 4000.0::DOUBLE, 2) / 2) FOR i IN range(4001)]))"""
+_NEWTON = f"x + ({student_p_sql('x', 'df')} - 0.05) / (2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + x * x / df, -(df + 1) / 2))"
+# The quantile by six of Newton's steps on the p-value.
+_QUANTILE = ",\n".join(["q0 AS (SELECT 1.959963984540054::DOUBLE AS x, df FROM w)", *[f"q{k + 1} AS (SELECT {_NEWTON} AS x, df FROM q{k})" for k in range(6)]])
+WELCH_P = f"""WITH w AS (SELECT mean_diff, t_stat, df, mean_diff / t_stat AS se FROM {welch_sql('outcomes', 'revenue')}),
+{_QUANTILE}
+SELECT round(mean_diff, 10) AS mean_diff, round(t_stat, 9) AS t_stat, round(w.df, 4) AS df, round(p, 8) AS p_value,
+  round(mean_diff - x * se, 7) AS ci_low, round(mean_diff + x * se, 7) AS ci_high, p < 0.05 AS significant
+FROM (SELECT *, {student_p_sql('t_stat', 'df')} AS p FROM w) w, q6"""
+
+
+@query("ab_welch_p_value", sql(WELCH_P, "outcomes"))
 def _welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.welch_test(outcomes(spark, sf_dir), "revenue")
+    tested = _rounded(ex.welch_test(outcomes(spark, sf_dir), "revenue"), 7, "ci_low", "ci_high")
+    return _rounded(_rounded(_rounded(_rounded(tested, 8, "p_value"), 10, "mean_diff"), 9, "t_stat"), 4, "df")
 
 
 cte(
@@ -309,9 +329,19 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(_rounded(rounded, 6, "net_mean_diff", "net_t_stat"), 4, "net_df"), 8, "net_lift")
 
 
-@query("ab_report_p_values")
+@query(
+    "ab_report_p_values",
+    sql(
+        f"""SELECT decision, round(z, 9) AS z_stat, round(t, 6) AS net_t_stat, round({NORMAL_P}, 8) AS p_value, round({student_p_sql('t', 'df')}, 8) AS net_p_value FROM (
+  SELECT d / se AS z, w.t_stat AS t, w.df AS df, CASE WHEN abs(d / se) > {Z!r} AND p2 < p1 THEN CASE WHEN w.mean_diff < 0 THEN 'OPTIMIZE' ELSE 'LAUNCH' END ELSE 'HOLD' END AS decision
+  FROM ztest, {welch_sql('(SELECT assignment, COALESCE(adjusted, net) AS v FROM cuped)', 'v')} w)""",
+        "ztest",
+        "cuped",
+    ),
+)
 def _report_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.with_p_values(ex.analyze_experiment(outcomes(spark, sf_dir)))
+    tested = ex.with_p_values(ex.analyze_experiment(outcomes(spark, sf_dir))).select("decision", "z_stat", "net_t_stat", "p_value", "net_p_value")
+    return _rounded(_rounded(_rounded(tested, 9, "z_stat"), 6, "net_t_stat"), 8, "p_value", "net_p_value")
 
 
 # ---------- drift ----------
