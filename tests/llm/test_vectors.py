@@ -69,3 +69,14 @@ def test_bounds_lose_no_pair():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     i, j = linked(x, x, 0.8, [4, 8, 24])
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {tuple(p) for p in np.argwhere(x @ x.T >= 0.8).tolist()}
+
+
+def test_tiny_and_huge_vectors_link(spark):
+    """Neither squares that vanish nor squares that overflow decide."""
+    pairs = [([1e-200, 2e-200], [1.01e-200, 2e-200]), ([1e200, 2e200], [1e200, 2.01e200]), ([5e-324, 0.0], [1e-310, 0.0]), ([1.7e308, -1.7e308], [1.6e308, -1.7e308])]
+    rows = [(10 * i + j, v, i) for i, pair in enumerate(pairs) for j, v in enumerate(pair)] + [(90, [4.0, 3.0], 0), (91, [1e-200, -2e-200], 0)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(frame, "vec_id", "embedding", "label").collect()}
+    for i in range(len(pairs)):
+        assert got[10 * i][0] == got[10 * i + 1][0] == 1 and got[10 * i + 1][1] == 10 * i
+    assert got[90] == (0, 90) and got[91] == (0, 91)

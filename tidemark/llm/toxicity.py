@@ -42,16 +42,23 @@ def text_features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 @dataclass(frozen=True)
 class Classifier:
-    """A logistic model over some buckets: damped counts relative to the text's length."""
+    """A logistic model over some buckets: damped counts relative to the text's length.
+
+    A text without any of the buckets shows nothing: its log odds are ``blank``, the bias, or the prior's where the bias
+    alone would call it positive.
+    """
 
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    blank: float
 
     def scores(self, column) -> np.ndarray:
         row, at, value, rows = selected_features(column, self.buckets)
         total = np.bincount(row, value * self.weights[at], rows) if len(row) else np.zeros(rows)
-        return sigmoid(total + self.bias)
+        some = np.zeros(rows, bool)
+        some[row] = True
+        return sigmoid(np.where(some, total + self.bias, self.blank))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -136,7 +143,7 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str) -
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     bias = float(np.log(np.clip(prior, 1e-9, 1 - 1e-9) / (1 - np.clip(prior, 1e-9, 1 - 1e-9))))
     if len(sizes) < 2 or not 0 < prior < 1:
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), bias)
+        return Classifier(np.zeros(0, np.int64), np.zeros(0), bias, bias)
 
     def count(batches):
         seen = np.zeros((2, BUCKETS), np.int64)
@@ -168,12 +175,14 @@ def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str) -
     row = np.repeat(np.arange(len(side)), [len(r["at"]) for r in chosen_features])
     at = np.array([i for r in chosen_features for i in r["at"]], np.int64)
     value = np.array([v for r in chosen_features for v in r["value"]], float)
+    prior_odds = bias
     weights, bias = fit_nonnegative(row, at, value, side, len(buckets), prior)
-    return Classifier(buckets, weights, bias)
+    return Classifier(buckets, weights, bias, bias if bias < 0 else min(bias, prior_odds))
 
 
 def score_texts(docs: DataFrame, keys: list[str], text: str, model: Classifier) -> DataFrame:
-    """``keys`` and ``score`` of every row, in no case shuffled; null and empty texts get the score of the bias."""
+    """``keys`` and ``score`` of every row, in no case shuffled; null, empty and other texts without known words
+    get the score of the bias, or of the prior where that is not below one half."""
     name, = fresh_names(keys, "text")
     picked = docs.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias(name))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keys)]) + ", score double"
