@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -152,3 +153,29 @@ def test_shared_words_are_never_undercounted():
         bound = order_minhash._shared_marks(marks, rows, i, np.arange(30))
         exact = [sum((Counter(texts[i].split()) & Counter(t.split())).values()) for t in texts]
         assert (bound >= exact).all() and (bound <= np.array(exact) + 2).all()
+
+
+def test_words_of_many_texts_take_little_besides():
+    texts = [None, "", "One ünï", *[f"{PLAIN} {i} " * 40 for i in range(2000)], "☃ " * 700_000, "", "last"]
+    column = pa.array(texts, pa.string())
+    tracemalloc.start()
+    words, rows = hashed_words(column)
+    most = tracemalloc.get_traced_memory()[1] - 2 * words.nbytes - column.nbytes
+    tracemalloc.stop()
+    assert column.nbytes > 6 << 20 and most < 200 << 20
+    assert len(rows) == len(texts) + 1
+    for i in (0, 1, 2, 3, 700, 2002, 2003, 2004, 2005):
+        assert words[rows[i] : rows[i + 1]].tolist() == hashed_words(pa.array([texts[i]], pa.string()))[0].tolist()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_tiles_of_any_batches(size):
+    rng = random.Random(size)
+    keys = sorted((rng.randrange(2), rng.randrange(3), rng.randrange(2), rng.randrange(2)) for _ in range(60))
+    names = ["repeat", "key", "one", "two"]
+    columns = [pa.array([k[0] for k in keys], pa.int32()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)], pa.array(range(60))]
+    batch = pa.RecordBatch.from_arrays(columns, [*names, "cid"])
+    batches = [batch.slice(i, size) for i in range(0, 60, size)]
+    tiles = list(order_minhash._by_tile(iter([batch.slice(0, 0), *batches, batch.slice(0, 0)])))
+    assert [t.column("cid").to_pylist() for t in tiles] == [[i for i in range(60) if keys[i] == k] for k in sorted(set(keys))]
+    assert list(order_minhash._by_tile(iter([]))) == []

@@ -192,6 +192,18 @@ def test_removal(spark):
     assert PLAIN in {r["text"] for r in same.collect()}
 
 
+@pytest.mark.parametrize("shard_words", [2, 200_000])
+def test_removal_takes_one_python_worker(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+    frame = documents(spark)
+    benchmark = spark.createDataFrame([("b", "three, FOUR five six"), ("c", "漢字 ünïcödé")], "item_id string, text string")
+    out = remove_leaks(frame, "text", benchmark, "item_id", "text", 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["text"] for r in out.where("doc_id = 1").collect()} == {"One two  seven eight nine ten eleven twelve."}
+    assert out.where("doc_id = 6").first()["text"] == "ünïcödé wörds ☃ " + " wörds ☃ " * 2 + "漢字 "
+    assert out.count() == len(ROWS)
+
+
 def test_automaton_counts_substrings():
     words = [[1, 2, 1, 2, 3], [2, 3, 1]]
     automaton = Automaton(words, 2)

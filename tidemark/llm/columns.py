@@ -113,11 +113,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
 
 
 def hashed_words(column, member: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the ASCII-folded texts, and the offset of each row's first."""
+    """The hash of every word of the ASCII-folded texts, and the offset of each row's first.
+
+    Rows of SLICE_BYTES are worked on at once, as temporary arrays and tables of powers grow with them.
+    """
     raw, offsets = text_buffer(column)
-    data = FOLD[raw]
-    starts, ends, rows = word_spans(data, offsets, member)
-    return span_hashes(data, starts, ends), rows
+    words, rows, low = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, side="right")) - 1)
+        data = FOLD[raw[offsets[low] : offsets[high]]]
+        starts, ends, first = word_spans(data, offsets[low : high + 1] - offsets[low], member)
+        words.append(span_hashes(data, starts, ends))
+        rows.append(first[1:] + rows[-1][-1])
+        low = high
+    return np.concatenate(words), np.concatenate(rows)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

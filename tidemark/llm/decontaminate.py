@@ -167,16 +167,17 @@ def _shards(benchmark: DataFrame, item: str, text: str, window: int):
         yield Shard(names, words, window)
 
 
-def mark_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int, names: list[str]) -> DataFrame:
+def mark_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int, names: list[str], then=None) -> DataFrame:
     """``docs`` and three columns, called ``names``: count of words, hit spans (in words, merged) and items found.
 
     The corpus passes by one shard after the other, without a shuffle; between two shards it is written, so that a
-    task holds one automaton (of some SHARD_WORDS words) at a time.
+    task holds one automaton (of some SHARD_WORDS words) at a time. ``then``, where given, makes batches of the columns
+    of ``docs`` out of the marked ones in the last pass: a second Python operator would take a worker more for each task.
     """
     context = docs.sparkSession.sparkContext
     fields, at = docs.schema.names, docs.schema.names.index(text)
     wanted = docs.select("*", F.lit(None).cast("bigint"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"), F.lit(None).cast("array<string>")).toDF(*fields, *names)
-    schema, out = wanted.schema, None
+    schema, held = wanted.schema, None
 
     def adder(shard):
         def run(batches):
@@ -193,10 +194,11 @@ def mark_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item
         return run
 
     for shard in _shards(benchmark, item, item_text, window):
-        out = (wanted if out is None else settle(out, "leaks")).mapInArrow(adder(context.broadcast(shard)), schema)
-    if out is None:
-        out = wanted.mapInArrow(adder(context.broadcast(Shard([], [], window))), schema)
-    return out
+        if held is not None:
+            wanted = settle(wanted.mapInArrow(adder(held), schema), "leaks")
+        held = context.broadcast(shard)
+    add = adder(context.broadcast(Shard([], [], window)) if held is None else held)
+    return wanted.mapInArrow(add, schema) if then is None else wanted.mapInArrow(lambda batches: then(add(batches)), docs.schema)
 
 
 def find_leaks(docs: DataFrame, keys: list[str], text: str, benchmark: DataFrame, item: str, item_text: str, window: int = 10) -> DataFrame:
@@ -224,10 +226,9 @@ def remove_leaks(
     """
     fields = docs.schema.names
     at = fields.index(text)
-    marked = mark_leaks(docs, text, benchmark, item, item_text, window, fresh_names(fields, "n_words", "hits", "items"))
 
-    def run(batches):
-        for batch in byte_slices(batches, at):
+    def cut(batches):
+        for batch in batches:
             found, own = batch.column(len(fields) + 1), batch.columns[: len(fields)]
             hit = np.flatnonzero(found.value_lengths().to_numpy(zero_copy_only=False))
             keep = np.ones(batch.num_rows, bool)
@@ -249,7 +250,7 @@ def remove_leaks(
                 own[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(own, fields).filter(pa.array(keep))
 
-    return marked.mapInArrow(run, docs.schema)
+    return mark_leaks(docs, text, benchmark, item, item_text, window, fresh_names(fields, "n_words", "hits", "items"), cut)
 
 
 def merged(spans) -> list[tuple[int, int]]:

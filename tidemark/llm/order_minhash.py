@@ -231,23 +231,30 @@ def _tile_links(similarity: float):
 
 
 def _by_tile(batches):
-    """Slices of the sorted ``batches``, one for each tile."""
-    held = None
+    """Slices of the sorted ``batches``, one for each tile; what is held of a batch that has passed is its last tile."""
+    held, last = [], None
     for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        new = np.zeros(batch.num_rows, bool)
-        new[:1] = True
-        for k in ("repeat", "key", "one", "two"):
-            x = batch.column(k).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
+        if not batch.num_rows:
+            continue
+        tile = np.stack([batch.column(k).to_numpy() for k in ("repeat", "key", "one", "two")], axis=1)
+        new = np.ones(len(tile), bool)
+        new[1:] = (tile[1:] != tile[:-1]).any(axis=1)
+        new[0] = last is None or (tile[0] != last).any()
+        last = tile[-1].copy()
         heads = np.flatnonzero(new)
         if not len(heads):
+            held.append(batch)
             continue
+        if held:
+            yield _joined([*held, batch.slice(0, heads[0])])
         yield from (batch.slice(a, b - a) for a, b in zip(heads[:-1], heads[1:], strict=True))
-        held = batch.slice(heads[-1])
-    if held is not None and held.num_rows:
-        yield held
+        held = [batch.take(pa.array(np.arange(heads[-1], len(tile))))]
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def _tile_members(similarity: float):
